@@ -9,7 +9,7 @@ A pair is emitted only where a run of common n-grams begins, so that highly simi
 at every n-gram of the run.
 
 Answer level: equal sets are one set.  Of each neighbourhood of candidates one set leads; the
-others' sets come once to the leader's group and are reduced to their differences from it.  Overlaps
+others' sets come once to the leader's group and are reduced to their differences from it (candidates that parity signatures rule out aren't sent).  Overlaps
 of any two of them follow from the leader's size and the differences alone
 (|r & s| = |L| - |L-r| - |L-s| + |(L-r) & (L-s)| + |(r-L) & (s-L)|), so a set's answers are
 derived from those of the set it resembles.  Nothing is capped, and the join is exact up to
@@ -36,43 +36,107 @@ from .vec import SQL_WORDS, Words, chunks, mix
 
 N = 3
 THRESHOLD = "0.7"
-BUCKET_BITS, SEGMENTS = 18, 64
-STRIDE = 1 << 20
+#: Buckets that hold more n-grams than that count as frequent, the fullest HEAVY of them.
+USUAL, HEAVY = 24, 4_000_000
+FLUSH, STRIDE = 4_000_000, 1 << 20
 
 
-def rarity(docs: DataFrame, n: int) -> np.ndarray:
-    """Class of each hash bucket of n-grams: 0 for those about as full as the mean or less, then by powers of two.
+class Rarity:
+    """Classes of n-grams by how often their hash bucket occurs: 0 for the usual, then by powers of two."""
 
-    The counts cover all documents; their table has a fixed size, and is added up by segment.
+    def __init__(self, bits: int, buckets: np.ndarray, classes: np.ndarray):
+        order = np.argsort(buckets)
+        self.bits, self.buckets, self.classes = bits, buckets[order].astype(np.uint64), classes[order].astype(np.uint64)
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[(self.buckets << np.uint64(64 - bits) >> np.uint64(44)).astype(np.int64)] = True
+
+    def of(self, g: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(g), np.uint64)
+        maybe = np.flatnonzero(self.filter[(g >> np.uint64(44)).astype(np.int64)])
+        if len(maybe):
+            bucket = g[maybe] >> np.uint64(64 - self.bits)
+            at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
+            out[maybe] = np.where(self.buckets[at] == bucket, self.classes[at], np.uint64(0))
+        return out
+
+
+def rarity(docs: DataFrame, n: int) -> Rarity:
+    """Count all documents' n-grams in hash buckets, as many that one holds a few on average.
+
+    Tasks send sorted bucket numbers as deltas (about a byte each), by range of buckets.  Only
+    buckets over USUAL are kept, and of these the fullest HEAVY at most: the order decides what the
+    join costs, never its result.
     """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(np.clip(np.ceil(np.log2(max(size, 1) / 32)), 16, 32))
+    range_bits = min(bits, 20)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            every = np.sort(np.concatenate(held)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(every >> range_bits, prepend=-1))
+            rows = []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(every)]):
+                part = every[a:b] & ((1 << range_bits) - 1)
+                rows.append((int(every[a] >> range_bits), np.diff(part, prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "deltas"])
+
         for batch in batches:
             for _, run in chunks(batch.column(0).to_pylist()):
-                for g in [np.concatenate(Words(run).grams(n))]:
-                    total += np.bincount((g >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
-        if total.any():
-            parts = [p.astype(np.uint32).tobytes() for p in np.split(total, SEGMENTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], ["segment", "counts"])
+                held.append((np.concatenate(Words(run).grams(n)) >> np.uint64(64 - bits)).astype(np.uint32))
+                if sum(map(len, held)) > FLUSH:
+                    yield out()
+                    held = []
+        if sum(map(len, held)):
+            yield out()
 
     def add(t: pa.Table) -> pa.Table:
-        width = np.dtype(np.uint32 if len(t["counts"][0].as_py()) == (4 << BUCKET_BITS) // SEGMENTS else np.int64)
-        total = sum(np.frombuffer(x, width).astype(np.int64) for x in t["counts"].to_pylist())
-        return pa.table({"segment": t["segment"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(1 << range_bits, np.int64)
+        for blob in t["deltas"].to_pylist():
+            part = np.cumsum(np.frombuffer(blob, np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1).astype(np.int64))
+            total += np.bincount(part, minlength=len(total))
+        heavy = np.flatnonzero(total > USUAL)
+        return pa.table({"bucket": pa.array((t["part"][0].as_py() << range_bits) + heavy), "kind": pa.array((np.log2(total[heavy] / USUAL).astype(np.int32) + 1).astype(np.int32))})
+
+    heavy = settle(docs.select("text").mapInArrow(count, "part int, deltas binary").groupBy("part").applyInArrow(add, "bucket long, kind int"))
+    least, rows = 99, 0
+    for r in sorted(heavy.groupBy("kind").count().collect(), reverse=True):
+        if rows + r["count"] > HEAVY:
+            break
+        least, rows = r["kind"], rows + r["count"]
+    t = heavy.where(F.col("kind") >= least).toArrow()
+    return Rarity(bits, t["bucket"].to_numpy(), np.minimum(t["kind"].to_numpy(), 40))
+
+
+def ordered_set(g: np.ndarray, rarity: Rarity) -> np.ndarray:
+    """Distinct n-grams in the global order, each as class (6 bits) and hash (58 bits)."""
+    return np.unique((rarity.of(g) << np.uint64(58)) | (g >> np.uint64(6)))
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, "segment int, counts binary").groupBy("segment").applyInArrow(add, "segment int, counts binary")
-    rows = sorted(parts.collect())  # SEGMENTS rows
-    if not rows:
-        return np.zeros(1 << BUCKET_BITS, np.uint8)
-    total = np.concatenate([np.frombuffer(bytes(r["counts"]), np.int64) for r in rows])
-    usual = 2 * total.mean() + 8
-    return np.clip(np.floor(np.log2(np.maximum(total, 1) / usual)) + 1, 0, 40).astype(np.uint8)
 
+def signature(keys: np.ndarray) -> bytes:
+    """Parities of how many n-grams fall on each of 2**k places, about two places for each n-gram.
 
-def ordered_set(g: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Distinct n-grams in the global order, each as class (6 bits) and hash (58 bits)."""
-    return np.unique((classes[(g >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (g >> np.uint64(6)))
+    Two sets differ in at least as many n-grams as their parities do in places; folding the halves
+    of a signature by xor gives that of half the size.
+    """
+    bits = max(64, 1 << int(2 * len(keys) - 1).bit_length())
+    odd = np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def differences(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Lower bounds of the sizes of the sets' symmetric differences."""
+    out = np.zeros(len(a), np.int64)
+    for i, (x, y) in enumerate(zip(a, b)):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        out[i] = np.bitwise_count(x ^ y).sum()
+    return out
 
 
 def set_id(keys: np.ndarray) -> int:
@@ -197,14 +261,15 @@ class Join:
     def __init__(self, docs: DataFrame, n: int = N, threshold: str | float = THRESHOLD):
         s, spark = Sizes(threshold), docs.sparkSession
         named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-        classes = spark.sparkContext.broadcast(rarity(named, n))  # 256 KB, whatever the input
+        classes = spark.sparkContext.broadcast(rarity(named, n))  # HEAVY entries at most
 
         def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, run in chunks(batch.column(2).to_pylist()):
                     sets = [ordered_set(g, classes.value) for g in Words(run).grams(n)]
                     ids = pa.array([set_id(k) if len(k) else None for k in sets], pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), batch.column(1).slice(at, len(run)), ids], ["doc_id", "h", "sid"])
+                    marks = [pa.array([len(k) for k in sets], pa.int32()), pa.array([signature(k) for k in sets], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), batch.column(1).slice(at, len(run)), ids, *marks], ["doc_id", "h", "sid", "size", "signature"])
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -246,11 +311,24 @@ class Join:
             if held:
                 yield from out(held)
 
-        self.members = settle(named.select("doc_id", F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(name, "doc_id long, h binary, sid long").where("sid is not null").distinct())
+        self.members = settle(named.select("doc_id", F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(name, "doc_id long, h binary, sid long, size int, signature binary").where("sid is not null").distinct())
         lists = named.select("text").mapInArrow(index, "token long, prev int, sid long, size int, pos int").repartition("token").sortWithinPartitions("token")
-        candidates = settle(lists.mapInArrow(meet, "a long, b long").distinct())
+        candidates = settle(self._near(lists.mapInArrow(meet, "a long, b long").distinct(), s))
         self.pairs = settle(self._verified(named, candidates, n, s, classes))
 
+    def _near(self, candidates: DataFrame, s: Sizes) -> DataFrame:
+        """Candidates whose signatures allow the overlap; a signature is a thirtieth of its set."""
+        marks = self.members.groupBy("sid").agg(F.first("size").alias("size"), F.first("signature").alias("signature"))
+        named = lambda x: marks.select(F.col("sid").alias(x), F.col("size").alias(f"{x}_size"), F.col("signature").alias(f"{x}_mark"))
+
+        @F.arrow_udf("boolean")
+        def able(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+            na, nb = na.to_numpy().astype(np.int64), nb.to_numpy().astype(np.int64)
+            return pa.array(na + nb - differences(a.to_pylist(), b.to_pylist()) >= 2 * s.overlap(na, nb))
+
+        both = candidates.join(named("a"), "a").join(named("b"), "b")
+        return both.where(able("a_mark", "b_mark", "a_size", "b_size")).select("a", "b")
+
     def _verified(self, named: DataFrame, candidates: DataFrame, n: int, s: Sizes, classes) -> DataFrame:
         ends = candidates.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(candidates.select(F.col("b").alias("x"), F.col("a").alias("y")))
         lead = settle(ends.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("g")))  # all sets with a candidate
