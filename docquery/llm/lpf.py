@@ -213,6 +213,7 @@ def repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, part: int
 
     texts = keyed.select("h", F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
     segments = texts.join(wanted, (texts["h"] == wanted["h"]) & (texts["doc_id"] == wanted["fid"])).select("fid", texts["h"].alias("h"), "text", "at").mapInArrow(cut, "owner string, salt long, fid long, h string, start int, words binary")
+    segments = settle(segments)  # three plans read it
     parts = segments.groupBy("owner").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")
     salted = segments.join(parts, "owner", "left").withColumn("salt", F.pmod("salt", F.coalesce("parts", F.lit(1))).cast("int"))
     kinds = _SEGMENT + ", final boolean, stop int"
