@@ -85,7 +85,8 @@ def lowercase(c: Column) -> Column:
 
 
 def special_characters(c: Column, keep_punctuation: bool = True) -> Column:
-    return F.regexp_replace(c, rf"(?U)[^\w\s{_KEEP if keep_punctuation else ''}]", "")
+    # Letters, numbers and _, without the combining marks that Java's own word class has.
+    return F.regexp_replace(c, rf"(?U)[^\p{{L}}\p{{N}}_\s{_KEEP if keep_punctuation else ''}]", "")
 
 
 def repeated_lines(c: Column, most: int = 4) -> Column:
