@@ -308,12 +308,12 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS, r
 
 
 def _cut(low: list[float], high: list[float]) -> float:
-    """Between neighbouring scores, where the mean of both classes' accuracies is best; of those the widest gap's middle."""
+    """Between neighbouring scores, where the classes' accuracies are best, a sound text's counting four times; of those the widest gap's middle."""
     every = np.array(sorted({*low, *high}))
     if len(every) < 2:
         return float(every[0]) + 1.0
     mids = (every[1:] + every[:-1]) / 2
-    fine = np.searchsorted(low, mids) / len(low) + 1 - np.searchsorted(high, mids) / len(high)
+    fine = 4 * np.searchsorted(low, mids) / len(low) + 1 - np.searchsorted(high, mids) / len(high)
     best = np.flatnonzero(fine >= fine.max() - 1e-12)
     return float(mids[best[np.argmax((every[1:] - every[:-1])[best])]])
 
