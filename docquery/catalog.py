@@ -16,6 +16,7 @@ from .operators import answer, chunk, domain, embed, filters, index, retrieve, s
 from .operators.query import analyse
 from .plans import pipeline
 from .plans.config import HybridSettings, Settings
+from .session import table as t
 from .sources import html, loaders, network, office
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,8 +33,6 @@ def query(sql: str | None = None):
     return add
 
 
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def q(s: str) -> str:
