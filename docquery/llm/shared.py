@@ -8,9 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..session import ready, table  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +41,7 @@ def settle(df: DataFrame) -> DataFrame:
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     The table goes when the driver's process ends.
     """
-    spark = df.sparkSession
+    spark = ready(df.sparkSession)
     path = f"{shared_dir(spark)}/docquery-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)

@@ -14,15 +14,17 @@ records; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "1970-01-01T00:00:00Z"
 SOFTWARE = "docquery derivatives"
-HIDDEN = r"(?is)<script\b.*?(?:</script\s*>|$)|<style\b.*?(?:</style\s*>|$)|<template\b.*?(?:</template\s*>|$)|<noscript\b.*?(?:</noscript\s*>|$)|<!--.*?(?:-->|$)"
+HIDDEN = r"(?is)<(?:script\b.*?(?:</script\s*>|$)|style\b.*?(?:</style\s*>|$)|template\b.*?(?:</template\s*>|$)|noscript\b.*?(?:</noscript\s*>|$)|!--.*?(?:-->|$))"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
-TAG = r"<[/!?]?[A-Za-z][^>]*>|<!DOCTYPE[^>]*>"
+TAG = r"<[/!?]?[A-Za-z][^>]*>"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&amp;": "&"}
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 DESCRIPTION = r"""(?is)<meta\s+name=["']?description["']?\s+content=["']([^"']*)"""
@@ -51,10 +53,30 @@ def record_id(name: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Visible text: a line for each block element, blanks collapsed, the commonest entities resolved."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BLOCK, "\n"), TAG, "")
-    for name, c in ENTITIES.items():
-        t = F.replace(t, F.lit(name), F.lit(c))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
+    return _bound(_bound(t, _entities), _tidy)
+
+
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is evaluated once, however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _tidy(t: Column) -> Column:
+    ragged = t.contains("  ") | t.contains("\t") | t.contains("\r") | t.contains("\f")
+    t = F.when(ragged, F.regexp_replace(t, r"[ \t\r\f]+", " ")).otherwise(t)
+    return F.btrim(F.replace(F.regexp_replace(t, r"\n[ \n]*", "\n"), F.lit(" \n"), F.lit("\n")), F.lit(" \n"))
+
+
+def _entities(t: Column) -> Column:
+    """Only what follows an ampersand is looked at."""
+
+    def resolve(piece: Column, i: Column) -> Column:
+        out = F.concat(F.lit("&"), piece)
+        for name, c in ENTITIES.items():
+            out = F.when(piece.startswith(name[1:]), F.concat(F.lit(c), F.substring(piece, F.lit(len(name)), F.length(piece)))).otherwise(out)
+        return F.when(i == 0, piece).otherwise(out)
+
+    return F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "&"), resolve), "")).otherwise(t)
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
