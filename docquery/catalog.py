@@ -221,6 +221,12 @@ def sections_web(spark, sf_dir):
     return structure.web_nodes(headed(spark, sf_dir)).select("document_id", "node", "parent", F.array_join("path", "/").alias("path"), "content")
 
 
+@query("SELECT doc_id, trim(array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)), ' ' || chr(10)) AS content, 2 AS first_line, 3 AS last_line FROM " + _DOCS)
+def sliced_lines(spark, sf_dir):
+    s = text.slice_lines(F.split("text", "\n"), 1, 3)
+    return ascii_docs(spark, sf_dir).select("doc_id", s["content"].alias("content"), s["first"].alias("first_line"), s["last"].alias("last_line"))
+
+
 @query()
 def sections_docx(spark, sf_dir):
     d = headed(spark, sf_dir).withColumn("content", F.concat("content", F.lit("\n--- Table 1 ---\na | b\n")))

@@ -102,6 +102,11 @@ def sheet_headers(c: Column) -> Column:
     return F.when(first.contains("|"), unique(F.transform(F.split(first, r"\|"), collapse))).otherwise(F.array().cast("array<string>"))
 
 
+def slice_lines(a: Column, start: int, end: int) -> Column:
+    """Struct of lines start to end (from 0, end excluded) as text and their numbers from 1."""
+    return F.struct(strip(F.array_join(F.slice(a, start + 1, end - start), "\n")).alias("content"), F.lit(start + 1).alias("first"), F.lit(end).alias("last"))
+
+
 # The same for one query.
 
 

@@ -18,8 +18,17 @@ def session(name: str = "docquery", **conf: str) -> SparkSession:
     return ready(b.getOrCreate())
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers find the package where the driver found it, if it isn't installed for them."""
+    """Let Python workers find the package where the driver found it, if it isn't installed for them.
+
+    Batches of long texts are bounded by bytes, unless the session has a bound of its own, so that a
+    worker's memory doesn't depend on how long texts are.
+    """
+    if spark.conf.get(_BATCH, None) == "67108864b":  # Spark's default
+        spark.conf.set(_BATCH, str(8 << 20))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

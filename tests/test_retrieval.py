@@ -9,6 +9,7 @@ from docquery.operators.query import analyse
 from docquery.plans import pipeline
 from docquery.plans.config import HybridSettings, Settings
 from docquery.plans.service import Service
+from docquery.sources.models import ModelClient, ModelError
 from docquery.sources.store import FrameStore, TableStore
 from docquery.streaming import ingest
 
@@ -157,6 +158,27 @@ def test_store(spark, chunks, tmp_path):
     assert s.chunks().count() == 0
 
 
+def test_model_client():
+    calls = []
+
+    def send(url, body, timeout):
+        calls.append((url, body))
+        path = url.split("/api/")[1]
+        if path == "embed":
+            raise ModelError("no such call", 404)
+        return {"tags": {"models": [{"name": "b"}, {"model": "a"}]}, "embeddings": {"embedding": [1, 2]}, "chat": {"message": {"content": "hi"}}, "pull": {}}[path]
+
+    c = ModelClient(send=send).with_models("m", "e")
+    assert c.list_models() == ["a", "b"] and c.embed(["x", "y"]) == [[1.0, 2.0]] * 2 and c.embed([]) == [] and c.complete(["p"], "s") == ["hi"]
+    assert calls[-1][1]["messages"][0] == {"role": "system", "content": "s"} and calls[-1][1]["stream"] is False
+    c.pull("z")
+    with pytest.raises(ModelError):
+        ModelClient(send=lambda *a: {"message": {}}).complete(["p"])
+    assert ModelClient.from_env({"DOCQUERY_MODEL_CHAT_MODEL": "q", "DOCQUERY_MODEL_TIMEOUT": "5"}).timeout == 5
+    with pytest.raises(ModelError):
+        ModelClient(base_url="http://127.0.0.1:9", timeout=1).list_models()
+
+
 def test_settings(tmp_path):
     path = tmp_path / "s.json"
     path.write_text('{"retrieval_mode": "dense", "vector": {"top_k": 3}, "source_profiles": {"pdf": {"dense_weight": 1, "keyword_weight": 0, "metadata_weight": 0, "exact_match_weight": 0}}}')
