@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from .shared import settle
 from .vec import SQL_WORDS, Words, chunks, mix
 
-N = 3
-THRESHOLD = "0.7"
+N = 2
+THRESHOLD = "0.6"
 #: Buckets that hold more n-grams than that count as frequent, the fullest HEAVY of them.
-USUAL, HEAVY = 24, 4_000_000
-FLUSH, STRIDE = 4_000_000, 1 << 20
+USUAL, HEAVY = 8, 4_000_000
+FLUSH, STRIDE = 1_500_000, 1 << 19
 
 
 class Rarity:
@@ -46,29 +46,29 @@ class Rarity:
 
     def __init__(self, bits: int, buckets: np.ndarray, classes: np.ndarray):
         order = np.argsort(buckets)
-        self.bits, self.buckets, self.classes = bits, buckets[order].astype(np.uint64), classes[order].astype(np.uint64)
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.buckets << np.uint64(64 - bits) >> np.uint64(44)).astype(np.int64)] = True
+        self.bits, self.buckets, self.classes = bits, buckets[order].astype(np.uint32), classes[order].astype(np.uint8)
+        self.filter = np.zeros(1 << 24, bool)
+        self.filter[(self.buckets.astype(np.uint64) << np.uint64(64 - bits) >> np.uint64(40)).astype(np.int64)] = True
 
     def of(self, g: np.ndarray) -> np.ndarray:
         out = np.zeros(len(g), np.uint64)
-        maybe = np.flatnonzero(self.filter[(g >> np.uint64(44)).astype(np.int64)])
+        maybe = np.flatnonzero(self.filter[(g >> np.uint64(40)).view(np.int64)])
         if len(maybe):
-            bucket = g[maybe] >> np.uint64(64 - self.bits)
+            bucket = (g[maybe] >> np.uint64(64 - self.bits)).astype(np.uint32)
             at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
-            out[maybe] = np.where(self.buckets[at] == bucket, self.classes[at], np.uint64(0))
+            out[maybe] = np.where(self.buckets[at] == bucket, self.classes[at], 0).astype(np.uint64)
         return out
 
 
 def rarity(docs: DataFrame, n: int) -> Rarity:
-    """Count all documents' n-grams in hash buckets, as many that one holds a few on average.
+    """Count all documents' n-grams in hash buckets, as many that one holds about one on average, up to 2**32.
 
     Tasks send sorted bucket numbers as deltas (about a byte each), by range of buckets.  Only
     buckets over USUAL are kept, and of these the fullest HEAVY at most: the order decides what the
     join costs, never its result.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(size, 1) / 32)), 16, 32))
+    bits = int(np.clip(np.ceil(np.log2(max(size, 1) / 8)), 16, 32))
     range_bits = min(bits, 20)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +110,23 @@ def rarity(docs: DataFrame, n: int) -> Rarity:
     return Rarity(bits, t["bucket"].to_numpy(), np.minimum(t["kind"].to_numpy(), 40))
 
 
-def ordered_set(g: np.ndarray, rarity: Rarity) -> np.ndarray:
-    """Distinct n-grams in the global order, each as class (6 bits) and hash (58 bits)."""
-    return np.unique((rarity.of(g) << np.uint64(58)) | (g >> np.uint64(6)))
+def ordered_sets(texts: list[str], n: int, rarity: Rarity) -> list[np.ndarray]:
+    """For each text its distinct n-grams in the global order, each as class (6 bits) and hash (58 bits)."""
+    grams = Words(texts).grams(n)
+    g = np.concatenate(grams)
+    keys = (rarity.of(g) << np.uint64(58)) | (g >> np.uint64(6))
+    out, a = [], 0
+    for own in grams:
+        k = keys[a : a + len(own)]
+        a += len(own)
+        if len(k) > 1:
+            k.sort()
+            new = np.empty(len(k), bool)
+            new[0] = True
+            np.not_equal(k[1:], k[:-1], out=new[1:])
+            k = k[new]
+        out.append(k)
+    return out
 
 
 def signature(keys: np.ndarray) -> bytes:
@@ -266,7 +280,7 @@ class Join:
         def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, run in chunks(batch.column(2).to_pylist()):
-                    sets = [ordered_set(g, classes.value) for g in Words(run).grams(n)]
+                    sets = ordered_sets(run, n, classes.value)
                     ids = pa.array([set_id(k) if len(k) else None for k in sets], pa.int64())
                     marks = [pa.array([len(k) for k in sets], pa.int32()), pa.array([signature(k) for k in sets], pa.binary())]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), batch.column(1).slice(at, len(run)), ids, *marks], ["doc_id", "h", "sid", "size", "signature"])
@@ -274,7 +288,7 @@ class Join:
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for _, run in chunks(batch.column(0).to_pylist()):
-                    sets = [k for g in Words(run).grams(n) if len(k := ordered_set(g, classes.value))]
+                    sets = [k for k in ordered_sets(run, n, classes.value) if len(k)]
                     if not sets:
                         continue
                     size = np.array([len(k) for k in sets])
@@ -282,16 +296,21 @@ class Join:
                     prev = [np.concatenate([[np.uint64(0)], k[: p - 1] | np.uint64(1)]) for k, p in zip(sets, most.tolist())]
                     pos = np.arange(int(most.sum())) - np.repeat(np.cumsum(most) - most, most)
                     ids = np.repeat(np.array([set_id(k) for k in sets]), most)
-                    columns = [np.concatenate([k[:p] for k, p in zip(sets, most.tolist())]).view(np.int64), np.concatenate(prev).astype(np.uint32).view(np.int32), ids, np.repeat(size, most).astype(np.int32), pos.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "prev", "sid", "size", "pos"])
+                    # What rows of a set share comes first and token and position share a number: some 17 bytes a row
+                    # when compressed.  44 bits of a token suffice: others that look alike only make candidates, and a
+                    # position over 20 bits only skips less.
+                    token = mix(np.concatenate([k[:p] for k, p in zip(sets, most.tolist())])) >> np.uint64(20)
+                    packed = token << np.uint64(20) | np.minimum(pos, (1 << 20) - 1).astype(np.uint64)
+                    columns = [ids, np.repeat(size, most).astype(np.int32), packed.view(np.int64), np.concatenate(prev).astype(np.uint32).view(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sid", "size", "packed", "prev"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
 
             def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                columns = [np.concatenate([r.column(i).to_numpy() for r in rows]) for i in range(5)]
+                sid, size, packed, prev = (np.concatenate([r.column(i).to_numpy() for r in rows]) for i in range(4))
                 found: list[tuple[np.ndarray, np.ndarray]] = []
-                for pair in pairs_of_lists(*columns, s):
+                for pair in pairs_of_lists(packed >> 20, prev, sid, size, packed & 0xFFFFF, s):
                     found.append(pair)
                     if sum(len(a) for a, _ in found) > STRIDE:
                         yield _distinct(found)
@@ -302,9 +321,9 @@ class Join:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                token = batch.column(0).to_numpy()
+                token = batch.column(2).to_numpy() >> 20
                 cut = int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0
-                if cut or (held and held[-1].column(0)[-1].as_py() != token[0]):
+                if cut or (held and held[-1].column(2)[-1].as_py() >> 20 != token[0]):
                     yield from out([*held, batch.slice(0, cut)])
                     held = []
                 held.append(batch.slice(cut))
@@ -312,34 +331,42 @@ class Join:
                 yield from out(held)
 
         self.members = settle(named.select("doc_id", F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(name, "doc_id long, h binary, sid long, size int, signature binary").where("sid is not null").distinct())
-        lists = named.select("text").mapInArrow(index, "token long, prev int, sid long, size int, pos int").repartition("token").sortWithinPartitions("token")
-        candidates = settle(self._near(lists.mapInArrow(meet, "a long, b long").distinct(), s))
+        lists = named.select("text").mapInArrow(index, "sid long, size int, packed long, prev int").repartition(F.shiftrightunsigned("packed", 20)).sortWithinPartitions("packed")
+        candidates = settle(self._near(settle(lists.mapInArrow(meet, "a long, b long").distinct()), s))
         self.pairs = settle(self._verified(named, candidates, n, s, classes))
 
     def _near(self, candidates: DataFrame, s: Sizes) -> DataFrame:
-        """Candidates whose signatures allow the overlap; a signature is a thirtieth of its set."""
+        """(g, a, b): candidates whose signatures allow the overlap, each with a set to lead its group.
+
+        Signatures, a thirtieth of the sets' size, go once to each neighbourhood; so what is sent grows with
+        the sets, not with their pairs.
+        """
+        ends = candidates.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(candidates.select(F.col("b").alias("x"), F.col("a").alias("y")))
+        lead = ends.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("g"))
+        grouped = settle(candidates.join(lead.withColumnRenamed("x", "a"), "a").select("g", "a", "b"))
         marks = self.members.groupBy("sid").agg(F.first("size").alias("size"), F.first("signature").alias("signature"))
-        named = lambda x: marks.select(F.col("sid").alias(x), F.col("size").alias(f"{x}_size"), F.col("signature").alias(f"{x}_mark"))
+        wants = grouped.select(F.col("g").alias("leader"), F.explode(F.array("a", "b")).alias("sid")).distinct()
 
-        @F.arrow_udf("boolean")
-        def able(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-            na, nb = na.to_numpy().astype(np.int64), nb.to_numpy().astype(np.int64)
-            return pa.array(na + nb - differences(a.to_pylist(), b.to_pylist()) >= 2 * s.overlap(na, nb))
+        def able(pairs: pa.Table, rows: pa.Table) -> pa.Table:
+            mark = {i: (n, m) for i, n, m in zip(*(rows[c].to_pylist() for c in ("sid", "size", "signature")))}
+            a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+            na, nb = (np.array([mark[x][0] for x in v.tolist()], np.int64) for v in (a, b))
+            bound = na + nb - differences([mark[x][1] for x in a.tolist()], [mark[x][1] for x in b.tolist()])
+            ok = bound >= 2 * s.overlap(na, nb)
+            a, b = a[ok], b[ok]
+            return pa.table({"g": pa.array(_leaders(a, b)), "a": pa.array(a), "b": pa.array(b)})
 
-        both = candidates.join(named("a"), "a").join(named("b"), "b")
-        return both.where(able("a_mark", "b_mark", "a_size", "b_size")).select("a", "b")
+        marks = marks.join(wants, "sid").select("leader", "sid", "size", "signature")
+        return grouped.groupBy("g").cogroup(marks.groupBy("leader")).applyInArrow(able, "g long, a long, b long")
 
-    def _verified(self, named: DataFrame, candidates: DataFrame, n: int, s: Sizes, classes) -> DataFrame:
-        ends = candidates.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(candidates.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        lead = settle(ends.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("g")))  # all sets with a candidate
-        grouped = settle(candidates.join(lead.withColumnRenamed("x", "a"), "a").select("g", "a", "b"))
+    def _verified(self, named: DataFrame, grouped: DataFrame, n: int, s: Sizes, classes) -> DataFrame:
         wants = grouped.select(F.col("g").alias("leader"), F.explode(F.array("g", "a", "b")).alias("sid")).distinct()
-        one = self.members.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("first")).join(lead.select(F.col("x").alias("sid")), "sid").select("sid", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
+        one = self.members.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("first")).join(wants.select("sid").distinct(), "sid").select("sid", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
 
         def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, run in chunks(batch.column(1).to_pylist()):
-                    keys = [ordered_set(g, classes.value) for g in Words(run).grams(n)]
+                    keys = ordered_sets(run, n, classes.value)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array([k.tobytes() for k in keys], pa.binary())], ["sid", "keys"])
 
         texts = named.join(one, "doc_id").where(F.unhex(F.md5("text")) == F.col("h")).select("sid", "text")
@@ -371,6 +398,23 @@ class Join:
         return named.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), like.alias("jaccard")).unionByName(copies)
 
 
+def _leaders(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of a group the least set of those that pairs connect with it."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return np.array([find(x) for x in a.tolist()], np.int64)
+
+
 def _distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     a, b = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((b, a))
