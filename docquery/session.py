@@ -28,7 +28,7 @@ def ready(spark: SparkSession) -> SparkSession:
     worker's memory doesn't depend on how long texts are.
     """
     if spark.conf.get(_BATCH, None) == "67108864b":  # Spark's default
-        spark.conf.set(_BATCH, str(8 << 20))
+        spark.conf.set(_BATCH, str(4 << 20))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
