@@ -23,6 +23,7 @@ each take part under it, but not in pairs with each other; other columns are ign
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -47,12 +48,23 @@ class Rarity:
     def __init__(self, bits: int, buckets: np.ndarray, classes: np.ndarray):
         order = np.argsort(buckets)
         self.bits, self.buckets, self.classes = bits, buckets[order].astype(np.uint32), classes[order].astype(np.uint8)
-        self.filter = np.zeros(1 << 24, bool)
-        self.filter[(self.buckets.astype(np.uint64) << np.uint64(64 - bits) >> np.uint64(40)).astype(np.int64)] = True
+
+    def __getstate__(self) -> tuple:
+        return self.bits, self.buckets, self.classes
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bits, self.buckets, self.classes = state
+
+    @functools.cached_property
+    def filter(self) -> np.ndarray:
+        """Which of 2**22 ranges of hashes have a frequent bucket; made in each worker."""
+        found = np.zeros(1 << 22, bool)
+        found[(self.buckets.astype(np.uint64) << np.uint64(64 - self.bits) >> np.uint64(42)).astype(np.int64)] = True
+        return found
 
     def of(self, g: np.ndarray) -> np.ndarray:
         out = np.zeros(len(g), np.uint64)
-        maybe = np.flatnonzero(self.filter[(g >> np.uint64(40)).view(np.int64)])
+        maybe = np.flatnonzero(self.filter[(g >> np.uint64(42)).view(np.int64)])
         if len(maybe):
             bucket = (g[maybe] >> np.uint64(64 - self.bits)).astype(np.uint32)
             at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
@@ -236,7 +248,6 @@ def _strides(n: np.ndarray) -> Iterator[tuple[int, int]]:
 def verify(lead: np.ndarray, sets: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Overlaps of the pairs (a, b) of one group, from the sets' differences from the leader's."""
     names = sorted(sets)
-    index = {x: i for i, x in enumerate(names)}
     less, more = [], []
     for x in names:
         s = sets[x]
@@ -250,7 +261,7 @@ def verify(lead: np.ndarray, sets: dict[int, np.ndarray], a: np.ndarray, b: np.n
     ends = np.cumsum([0, *map(len, diffs)])
     known, flat = np.unique(np.concatenate(diffs), return_inverse=True)
     flag = np.zeros(len(known) + 1, np.int64)
-    ia, ib = np.array([index[x] for x in a.tolist()]), np.array([index[x] for x in b.tolist()])
+    ia, ib = np.searchsorted(names, a), np.searchsorted(names, b)
     out = np.empty(len(a), np.int64)
     order = np.argsort(ia, kind="stable")
     cuts = np.flatnonzero(np.diff(ia[order], prepend=-1))
@@ -270,7 +281,7 @@ def verify(lead: np.ndarray, sets: dict[int, np.ndarray], a: np.ndarray, b: np.n
 
 
 class Join:
-    """The join's parts, as settled tables: ``members`` (doc_id, h, sid) and ``pairs`` (a, b, overlap, size_a, size_b) of set ids."""
+    """The join's parts, as settled tables: ``members`` (doc_id, h, sid) and ``pairs`` (a, b, doc_a, doc_b, jaccard) of set ids with their first documents."""
 
     def __init__(self, docs: DataFrame, n: int = N, threshold: str | float = THRESHOLD):
         s, spark = Sizes(threshold), docs.sparkSession
@@ -348,11 +359,15 @@ class Join:
         wants = grouped.select(F.col("g").alias("leader"), F.explode(F.array("a", "b")).alias("sid")).distinct()
 
         def able(pairs: pa.Table, rows: pa.Table) -> pa.Table:
-            mark = {i: (n, m) for i, n, m in zip(*(rows[c].to_pylist() for c in ("sid", "size", "signature")))}
+            sid, at = np.unique(rows["sid"].to_numpy(), return_index=True)
+            size, mark = rows["size"].to_numpy()[at].astype(np.int64), rows["signature"].take(at).to_pylist()
             a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-            na, nb = (np.array([mark[x][0] for x in v.tolist()], np.int64) for v in (a, b))
-            bound = na + nb - differences([mark[x][1] for x in a.tolist()], [mark[x][1] for x in b.tolist()])
-            ok = bound >= 2 * s.overlap(na, nb)
+            ia, ib = np.searchsorted(sid, a), np.searchsorted(sid, b)
+            ok = np.zeros(len(a), bool)
+            for c in range(0, len(a), 10_000):
+                x, y = ia[c : c + 10_000], ib[c : c + 10_000]
+                least = differences([mark[i] for i in x.tolist()], [mark[i] for i in y.tolist()])
+                ok[c : c + 10_000] = size[x] + size[y] - least >= 2 * s.overlap(size[x], size[y])
             a, b = a[ok], b[ok]
             return pa.table({"g": pa.array(_leaders(a, b)), "a": pa.array(a), "b": pa.array(b)})
 
@@ -367,20 +382,23 @@ class Join:
             for batch in batches:
                 for at, run in chunks(batch.column(1).to_pylist()):
                     keys = ordered_sets(run, n, classes.value)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array([k.tobytes() for k in keys], pa.binary())], ["sid", "keys"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), batch.column(2).slice(at, len(run)), pa.array([k.tobytes() for k in keys], pa.binary())], ["sid", "doc_id", "keys"])
 
-        texts = named.join(one, "doc_id").where(F.unhex(F.md5("text")) == F.col("h")).select("sid", "text")
-        sets = texts.mapInArrow(rebuild, "sid long, keys binary").join(wants, "sid").select("leader", "sid", "keys")
+        texts = named.join(one, "doc_id").where(F.unhex(F.md5("text")) == F.col("h")).select("sid", "text", "doc_id")
+        sets = texts.mapInArrow(rebuild, "sid long, doc_id long, keys binary").join(wants, "sid").select("leader", "sid", "doc_id", "keys")
 
         def check(pairs: pa.Table, rows: pa.Table) -> pa.Table:
             held = {i: np.frombuffer(k, np.uint64) for i, k in zip(rows["sid"].to_pylist(), rows["keys"].to_pylist())}
             a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
             overlap = verify(held[pairs["g"][0].as_py()], held, a, b) if len(a) else np.zeros(0, np.int64)
-            na, nb = (np.array([len(held[x]) for x in v.tolist()], np.int64) for v in (a, b))
-            ok = overlap >= s.overlap(na, nb)
-            return pa.table({k: pa.array(v[ok].astype(np.int64)) for k, v in (("a", a), ("b", b), ("overlap", overlap), ("size_a", na), ("size_b", nb))})
+            sid, at = np.unique(rows["sid"].to_numpy(), return_index=True)
+            size, doc = np.array([len(held[x]) for x in sid.tolist()], np.int64), rows["doc_id"].to_numpy()[at]
+            ia, ib = np.searchsorted(sid, a), np.searchsorted(sid, b)
+            ok = np.flatnonzero(overlap >= s.overlap(size[ia], size[ib]))
+            a, b, ia, ib, overlap = (x[ok] for x in (a, b, ia, ib, overlap))
+            return pa.table({"a": a, "b": b, "doc_a": doc[ia], "doc_b": doc[ib], "jaccard": overlap / (size[ia] + size[ib] - overlap)})
 
-        return grouped.groupBy("g").cogroup(sets.groupBy("leader")).applyInArrow(check, "a long, b long, overlap long, size_a long, size_b long")
+        return grouped.groupBy("g").cogroup(sets.groupBy("leader")).applyInArrow(check, "a long, b long, doc_a long, doc_b long, jaccard double")
 
     def firsts(self) -> DataFrame:
         return self.members.groupBy("sid").agg(F.min("doc_id").alias("first"))
@@ -393,9 +411,8 @@ class Join:
         """
         first = self.firsts()
         copies = self.members.select("sid", "doc_id").distinct().join(first, "sid").where("doc_id > first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-        named = self.pairs.join(first.select(F.col("sid").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("sid").alias("b"), F.col("first").alias("y")), "b").where("x <> y")
-        like = F.round(F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")), 6)
-        return named.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), like.alias("jaccard")).unionByName(copies)
+        named = self.pairs.where("doc_a <> doc_b")
+        return named.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), F.round("jaccard", 6).alias("jaccard")).unionByName(copies)
 
 
 def _leaders(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -408,11 +425,13 @@ def _leaders(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x = root[x]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist()):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    return np.array([find(x) for x in a.tolist()], np.int64)
+    for c in range(0, len(a), 10_000):
+        for x, y in zip(a[c : c + 10_000].tolist(), b[c : c + 10_000].tolist()):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    kinds, of = np.unique(a, return_inverse=True)
+    return np.array([find(x) for x in kinds.tolist()], np.int64)[of]
 
 
 def _distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
