@@ -414,6 +414,18 @@ class Join:
         named = self.pairs.where("doc_a <> doc_b")
         return named.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), F.round("jaccard", 6).alias("jaccard")).unionByName(copies)
 
+    def every(self) -> DataFrame:
+        """(doc_a, doc_b, jaccard), doc_a < doc_b: a row for each two documents' sets that reach the threshold, copies included.
+
+        Pairs stay named by set until the members of both sides are joined in, so the rows of a
+        document don't depend on which copies of it there are; they grow with the product of two sets' copies.
+        """
+        of = self.members.select("sid", "doc_id").distinct()
+        sides = self.pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard")).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").where("x <> y")
+        near = sides.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+        equal = of.toDF("sid", "doc_a").join(of.toDF("sid", "doc_b"), "sid").where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
+        return near.unionByName(equal)
+
 
 def _leaders(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each pair of a group the least set of those that pairs connect with it."""
@@ -480,6 +492,10 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: str | float = THRE
     return Join(docs, n, threshold).similar()
 
 
+def every_similar_pair(docs: DataFrame, n: int = N, threshold: str | float = THRESHOLD) -> DataFrame:
+    return Join(docs, n, threshold).every()
+
+
 def oracle(n: int = N, threshold: str = THRESHOLD) -> str:
     """DuckDB SQL for :func:`similar_documents`, by counting common n-grams of all pairs."""
     return f"""
@@ -490,3 +506,13 @@ def oracle(n: int = N, threshold: str = THRESHOLD) -> str:
     p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, any_value(a.size) AS size_a, any_value(b.size) AS size_b, count(*) AS o FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
     SELECT doc_a, doc_b, round(o / (size_a + size_b - o), 6) AS jaccard FROM p WHERE o >= {threshold}::DECIMAL(9, 6) * (size_a + size_b - o)
     UNION ALL SELECT f.doc_id, s.doc_id, 1.0 FROM s JOIN f USING (g) WHERE s.doc_id > f.doc_id"""
+
+
+def every_oracle(n: int = N, threshold: str = THRESHOLD) -> str:
+    """DuckDB SQL for :func:`every_similar_pair`, by counting common n-grams of all pairs of documents."""
+    return f"""
+    WITH t AS (SELECT doc_id, {SQL_WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND len(w) > 0),
+    s AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END)) AS g FROM t),
+    e AS (SELECT r, doc_id, len(g) AS size, unnest(g) AS g FROM (SELECT row_number() OVER () AS r, * FROM s)),
+    p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, any_value(a.size) AS size_a, any_value(b.size) AS size_b, count(*) AS o FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2, a.r, b.r)
+    SELECT doc_a, doc_b, round(o / (size_a + size_b - o), 6) AS jaccard FROM p WHERE o >= {threshold}::DECIMAL(9, 6) * (size_a + size_b - o)"""

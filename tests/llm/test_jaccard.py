@@ -117,3 +117,14 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = jaccard.components(spark.createDataFrame(edges, "a long, b long"))
     assert {r["x"]: r["root"] for r in got.collect()} == root
+
+
+def test_every_pair_against_brute_force(spark, hostile):
+    base = [f"w{i}" for i in range(30)]
+    texts = [" ".join(base), " ".join(base), " ".join(base), " ".join([*base[:28], "x", "y"]), " ".join([*base[:28], "x", "y"]), "one of its own"]
+    rows = [(9 - i, t) for i, t in enumerate(texts)] + [(9, texts[3])]  # copies of lower ids; 9 has a near copy of its own
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_a"], r["doc_b"]) for r in jaccard.every_similar_pair(d).collect()]
+    assert set(got) == set(brute(rows, 2, "0.6")) == {(a, b) for a in range(5, 10) for b in range(a + 1, 10)}
+    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.every_similar_pair(hostile, 3, "0.6").collect()}
+    assert got == {(5, 6), (5, 7), (6, 7), (10, 11)}
