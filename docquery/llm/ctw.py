@@ -10,7 +10,7 @@ code length is the sum of -log2 of these probabilities.
 Training: each partition counts its (context, byte) grams, one shuffle adds them up, and the trees
 below each last byte are weighted in parallel; they meet at the root in a table of 256 x 255 rows.
 Scoring needs the code length of each gram.  That table is broadcast in slices of at most
-``slice_rows`` rows and documents pass the slices in one scan without a shuffle, whatever their number.
+``slice_rows`` rows, as hash tables, and documents pass the slices in one scan without a shuffle, whatever their number.
 
 Defined cases: a null text has null scores; an empty one has 0 bytes, 0 bits and null bits per byte;
 contexts before a text's first byte are zero bytes; repeated rows count as often as they occur; an
@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import settle
-from .vec import chunks
+from .vec import MIX, chunks, mix
 
-DEPTH = 3
+DEPTH = 5
 SLICE_ROWS = 4_000_000
 FLUSH_ROWS = 2_000_000
 _HALF, _LOG_PI = np.log(0.5), np.log(np.pi)
@@ -105,48 +105,45 @@ class Trees:
         self.depth, self.top = depth, top
         order = np.argsort(gram, kind="stable")
         self.gram, n = gram[order].astype(np.uint64), n[order].astype(np.int64)
-        self.kt: dict[int, list] = {}
-        below: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for d in range(depth, top - 1, -1):
             own = ((self.gram >> np.uint64(8 * (depth - d + 1))) << np.uint64(8)) | (self.gram & np.uint64(255)) if d else self.gram & np.uint64(255)
             kinds, of = np.unique(own, return_inverse=True)
-            total = np.bincount(of, n, len(kinds)).astype(np.int64)
-            level, weighted = [], []
-            for k in range(8):
-                node = kinds >> np.uint64(8 - k)
-                first = np.flatnonzero(np.diff(node, prepend=node[:1] + np.uint64(1)) != 0)
-                one = (kinds >> np.uint64(7 - k)) & np.uint64(1)
-                n1 = np.add.reduceat(total * one.astype(np.int64), first)
-                n0 = np.add.reduceat(total, first) - n1
-                node = node[first]
-                pe = log_kt(n0, n1)
-                if d == depth:
-                    pw = pe
-                else:
-                    child, child_pw = below[k]
-                    # A child's node is (context, its oldest byte, k bits); its parent's is (context, k bits).
-                    bits = child & np.uint64((1 << k) - 1)
-                    parent = ((child >> np.uint64(k + 8)) << np.uint64(k)) | bits
-                    rest = np.bincount(np.searchsorted(node, parent), child_pw, len(node))
-                    pw = _HALF + np.logaddexp(pe, rest)
-                w = np.ones(len(node)) if d == depth else np.exp(_HALF + pe - pw)
+            self.levels.append((kinds, of.astype(np.int32), np.bincount(of, n, len(kinds)).astype(np.int64)))
+
+    def decision(self, k: int, predict: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(nodes, log Pw) at depth top for k bits known, and for each gram the probability of decision k, mixed over the depths from top down.
+
+        Only one decision's and two depths' arrays are held at a time.
+        """
+        p = child = child_pw = None
+        for kinds, of, total in self.levels:
+            node = kinds >> np.uint64(8 - k)
+            first = np.flatnonzero(np.diff(node, prepend=node[:1] + np.uint64(1)) != 0)
+            one = (kinds >> np.uint64(7 - k)) & np.uint64(1)
+            n1 = np.add.reduceat(total * one.astype(np.int64), first)
+            n0 = np.add.reduceat(total, first) - n1
+            node = node[first]
+            pe = log_kt(n0, n1)
+            if child is None:
+                pw = pe
+            else:
+                # A child's node is (context, its oldest byte, k bits); its parent's is (context, k bits).
+                bits = child & np.uint64((1 << k) - 1)
+                parent = ((child >> np.uint64(k + 8)) << np.uint64(k)) | bits
+                rest = np.bincount(np.searchsorted(node, parent), child_pw, len(node))
+                pw = _HALF + np.logaddexp(pe, rest)
+            if predict:
                 of_kind = np.repeat(np.arange(len(first)), np.diff(first, append=len(kinds)))
                 hit = np.where(one.astype(bool), n1[of_kind], n0[of_kind])
-                p = (hit + 0.5) / (n0 + n1 + 1.0)[of_kind]
-                level.append((w[of_kind], p))
-                weighted.append((node, pw))
-            self.kt[d] = [of, level]
-            below = weighted
-        self.roots = below  # at depth top: (node, log Pw) for each number of bits known
-
-    def mixed(self, k: int) -> np.ndarray:
-        """For each gram the probability of decision k, mixed over the depths from top down."""
-        p = None
-        for d in range(self.depth, self.top - 1, -1):
-            of, level = self.kt[d]
-            w, kt = level[k][0][of], level[k][1][of]
-            p = kt if p is None else w * kt + (1 - w) * p
-        return p
+                kt = ((hit + 0.5) / (n0 + n1 + 1.0)[of_kind])[of]
+                if p is None:
+                    p = kt
+                else:
+                    w = np.exp(_HALF + pe - pw)[of_kind][of]
+                    p = w * kt + (1 - w) * p
+            child, child_pw = node, pw
+        return child, child_pw, p
 
 
 def code_lengths(counts: DataFrame, depth: int) -> DataFrame:
@@ -159,7 +156,8 @@ def code_lengths(counts: DataFrame, depth: int) -> DataFrame:
         rows = []
         last = int(pdf["last"].iloc[0])
         totals = pdf.assign(x=pdf["gram"] & 255).groupby("x")["n"].sum()
-        for k, (node, pw) in enumerate(t.roots):
+        for k in range(8):
+            node, pw, _ = t.decision(k, predict=False)
             bits = (node & np.uint64((1 << k) - 1)).astype(np.int64)
             rows.append(pd.DataFrame({"last": last, "k": k, "bits": bits, "pw": pw, "x": -1, "n": 0}))
         rows.append(pd.DataFrame({"last": last, "k": -1, "bits": 0, "pw": 0.0, "x": totals.index, "n": totals.to_numpy()}))
@@ -187,7 +185,7 @@ def code_lengths(counts: DataFrame, depth: int) -> DataFrame:
         bits = np.zeros(len(x))
         for k in range(8):
             w = weight[k][x]
-            bits -= np.log2(w * predict[k][x] + (1 - w) * t.mixed(k))
+            bits -= np.log2(w * predict[k][x] + (1 - w) * t.decision(k)[2])
         return pd.DataFrame({"gram": t.gram.astype(np.int64), "bits": bits})
 
     return counts.groupBy("last").applyInPandas(lengths, "gram long, bits double")
@@ -220,16 +218,45 @@ def score(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH, s
         if high is not None:
             part = part.where(F.col("gram") < high)
         t = part.toArrow()  # slice_rows at most, but for quantiles' error
-        kind = np.uint32 if depth <= 3 else np.uint64
-        key = t["gram"].to_numpy().astype(kind)
-        order = np.argsort(key)
-        sent = spark.sparkContext.broadcast((key[order], t["bits"].to_numpy().astype(np.float32)[order]))
-        scored = scored.mapInArrow(_scorer(sent, depth, slices > 1), "doc_id long, text string, bits double")
+        sent = spark.sparkContext.broadcast(hashed(t["gram"].to_numpy().astype(np.uint64), t["bits"].to_numpy().astype(np.float32)))
+        scored = scored.mapInArrow(_scorer(sent, depth), "doc_id long, text string, bits double")
     size = F.octet_length("text")
     return scored.select("doc_id", size.cast("long").alias("n_bytes"), F.when(F.col("text").isNotNull(), F.col("bits")).alias("bits"), F.when(size > 0, F.col("bits") / size).alias("bits_per_byte"))
 
 
-def _scorer(sent, depth: int, partial: bool):
+FREE = np.uint64(2**64 - 1)  # no gram: UTF-8 has no bytes 255
+
+
+def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(key * np.uint64(MIX)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def hashed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A table of open addressing, at most half full: slots' keys (FREE if none) and values (then 0)."""
+    bits = max(4, int(2 * len(key)).bit_length())
+    keys, values = np.full(1 << bits, FREE), np.zeros(1 << bits, np.float32)
+    at, left = _slot(key, bits), np.arange(len(key))
+    while len(left):
+        free = left[keys[at[left]] == FREE]
+        keys[at[free]] = key[free]
+        left = left[keys[at[left]] != key[left]]
+        at[left] = (at[left] + 1) & (len(keys) - 1)
+    values[at] = value
+    return keys, values
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The value of each q, 0 for those that the table lacks."""
+    at = _slot(q, len(keys).bit_length() - 1)
+    left = np.flatnonzero(keys[at] != q)
+    while len(left):
+        left = left[keys[at[left]] != FREE]
+        at[left] = (at[left] + 1) & (len(keys) - 1)
+        left = left[keys[at[left]] != q[left]]
+    return values[at]
+
+
+def _scorer(sent, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, lengths = sent.value
         for batch in batches:
@@ -238,12 +265,7 @@ def _scorer(sent, depth: int, partial: bool):
             for _, run in chunks(texts, 1 << 19):
                 q, ends = grams(run, depth)
                 bits = np.zeros(len(q) + 1)
-                if len(keys) and len(q):
-                    at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
-                    found = lengths[at].astype(np.float64)
-                    if partial:
-                        found[keys[at] != q] = 0.0
-                    np.cumsum(found, out=bits[1:])
+                np.cumsum(looked_up(keys, lengths, q.astype(np.uint64)), out=bits[1:], dtype=np.float64)
                 sums.append(bits[ends[1:]] - bits[ends[:-1]])
             total = so_far + (np.concatenate(sums) if sums else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total)], ["doc_id", "text", "bits"])

@@ -94,3 +94,21 @@ def test_hostile_rows(hostile, empty):
     assert len({x["bits"] for x in got.where("doc_id = 5").collect()}) == 1
     assert ctw.score(empty).count() == 0
     assert ctw.score(hostile, empty).count() == hostile.count()
+
+
+def test_contexts_grow_with_the_corpus_and_reach_past_three_bytes(spark):
+    # The byte after "bcd" follows from the bytes before it only.
+    d = spark.createDataFrame([(1, "abcde" * 40 + "xbcdf" * 40)], "doc_id long, text string")
+    assert ctw.score(d).first()["bits"] < 0.8 * ctw.score(d, depth=3).first()["bits"]
+    rows = [(i, f"the {i * 7919 % 100003} of {i * 104729 % 99991}") for i in range(3000)]
+    few, many = (ctw.gram_counts(spark.createDataFrame(r, "doc_id long, text string"), ctw.DEPTH).count() for r in (rows[:300], rows))
+    assert many > 4 * few
+
+
+def test_hash_table_finds_what_it_holds():
+    rng = np.random.default_rng(2)
+    key = np.unique(rng.integers(0, 2**48, 5000).astype(np.uint64))
+    keys, values = ctw.hashed(key[::2], np.arange(1, len(key[::2]) + 1, dtype=np.float32))
+    got = ctw.looked_up(keys, values, key)
+    assert (got[::2] == np.arange(1, len(key[::2]) + 1)).all() and not got[1::2].any()
+    assert not ctw.looked_up(*ctw.hashed(key[:0], np.zeros(0, np.float32)), key).any()
