@@ -22,6 +22,8 @@ from .shared import settle
 from .vec import SQL_WORDS, Words, chunks, sql_hash
 
 SPAN = float(2**63)
+#: Size of merged part sketches in :func:`part_pairs`; there are few parts, so these may be large.
+PART_K = 4096
 
 
 def sketches(docs: DataFrame, n: int = 5, k: int = 64) -> DataFrame:
@@ -97,6 +99,23 @@ def fingerprints(docs: DataFrame, n: int = 5, k: int = 64) -> DataFrame:
     return rows.unionByName(pairs)
 
 
+def part_pairs(docs: DataFrame, n: int = 5, k: int = PART_K) -> DataFrame:
+    """(part, other_part, shingles, resemblance, containment, sample): each two parts compared by large merged sketches.
+
+    Containment is the share of part's hashes that other_part has, among those up to the end of both
+    sketches; ``sample`` is their number, and containment is null if there are none.  With both
+    sketches shorter than k all estimates are exact.
+    """
+    parts = settle(merge(sketches(docs, n, k), k))
+    other = parts.select(F.col("part").alias("other_part"), F.col("sketch").alias("other"))
+    s, o = F.col("sketch"), F.col("other")
+    end = lambda c: F.when(F.size(c) < k, F.lit(2**63 - 1)).otherwise(F.element_at(c, k))
+    pairs = parts.join(other, ~F.col("part").eqNullSafe(F.col("other_part"))).withColumn("end", F.least(end(s), end(o)))
+    pairs = pairs.withColumn("sample", F.size(F.filter(s, lambda x: x <= F.col("end"))).cast("long"))
+    containment = F.when(F.col("sample") > 0, F.size(F.array_intersect(s, o)) / F.col("sample"))
+    return pairs.select("part", "other_part", F.round(distinct_count(s, k), 3).alias("shingles"), F.round(compare(s, o, k)["resemblance"], 6).alias("resemblance"), F.round(containment, 6).alias("containment"), "sample")
+
+
 def oracle(n: int = 5, k: int = 64) -> str:
     """DuckDB SQL for :func:`fingerprints`."""
     count = lambda s: f"CASE WHEN len({s}) < {k} THEN len({s})::DOUBLE ELSE {k - 1} / ({s}[{k}] / {SPAN}) END"
@@ -111,3 +130,17 @@ def oracle(n: int = 5, k: int = 64) -> str:
     y AS (SELECT *, CASE WHEN len(u) > 0 THEN len(list_intersect(u, i)) / len(u) ELSE 0 END AS j, {count("s")} AS own, {count("u")} AS n FROM x)
     SELECT 'document' AS kind, doc_id, part, NULL::VARCHAR AS other_part, round({count("s")}, 3) AS shingles, NULL::DOUBLE AS resemblance, NULL::DOUBLE AS containment, array_to_string(s, ' ') AS sketch FROM d
     UNION ALL SELECT 'parts', NULL, part, other_part, round(own, 3), round(j, 6), round(CASE WHEN own > 0 THEN least(1, j * n / own) ELSE 0 END, 6), array_to_string(s, ' ') FROM y"""
+
+
+def part_oracle(n: int = 5, k: int = PART_K) -> str:
+    """DuckDB SQL for :func:`part_pairs`."""
+    end = lambda s: f"CASE WHEN len({s}) < {k} THEN {2**63 - 1} ELSE {s}[{k}] END"
+    return f"""
+    WITH t AS (SELECT source AS part, {SQL_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+    g AS (SELECT part, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [w] ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: w[i:i + {n - 1}]) END) AS g FROM t),
+    h AS (SELECT DISTINCT part, ({sql_hash("g")} >> 1)::BIGINT AS h FROM g),
+    s AS (SELECT part, list_sort(list(h))[1:{k}] AS s FROM h GROUP BY part),
+    p AS (SELECT q.part, coalesce(s, []) AS s FROM (SELECT DISTINCT part FROM t) q LEFT JOIN s ON q.part IS NOT DISTINCT FROM s.part),
+    x AS (SELECT a.part, b.part AS other_part, a.s, list_sort(list_distinct(a.s || b.s))[1:{k}] AS u, list_intersect(a.s, b.s) AS i, least({end("a.s")}, {end("b.s")}) AS e FROM p a JOIN p b ON a.part IS DISTINCT FROM b.part),
+    y AS (SELECT *, len(list_filter(s, lambda v: v <= e)) AS sample FROM x)
+    SELECT part, other_part, round(CASE WHEN len(s) < {k} THEN len(s)::DOUBLE ELSE {k - 1} / (s[{k}] / {SPAN}) END, 3) AS shingles, round(CASE WHEN len(u) > 0 THEN len(list_intersect(u, i)) / len(u) ELSE 0 END, 6) AS resemblance, round(CASE WHEN sample > 0 THEN len(i) / sample END, 6) AS containment, sample FROM y"""

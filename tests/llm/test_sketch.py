@@ -73,3 +73,19 @@ def test_estimates_are_near(spark):
 
 def test_empty_table(empty):
     assert sketch.fingerprints(empty).count() == 0
+
+
+def test_containment_of_a_small_part_in_a_large_one(spark):
+    random.seed(6)
+    word = lambda: f"w{random.randrange(10**6)}"
+    big = [" ".join(word() for _ in range(1004)) for _ in range(60)]
+    rows = [(i, t, "hot") for i, t in enumerate(big)]
+    rows.append((100, " ".join(big[0].split()[:604]), "inside"))  # 1 % of the other's shingles, all of them its own
+    rows.append((101, " ".join([*big[1].split()[:604], *(word() for _ in range(1400))]), "partly"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r["part"], r["other_part"]): r for r in sketch.part_pairs(d).collect()}
+    union = {p: set().union(*(shingles(t, 5) for _, t, q in rows if q == p)) for p in ("hot", "inside", "partly")}
+    for (a, b), r in got.items():
+        assert abs(r["containment"] - len(union[a] & union[b]) / len(union[a])) < 0.12, (a, b)
+        assert abs(r["resemblance"] - len(union[a] & union[b]) / len(union[a] | union[b])) < 0.02, (a, b)
+    assert got["inside", "hot"]["containment"] == 1.0 and got["inside", "hot"]["sample"] > 20
