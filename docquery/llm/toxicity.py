@@ -11,7 +11,7 @@ the units that count as insults are found by alternating between fitting and rel
 weights of subsequences, the fitted function collapses into one table of subsequence weights, and a
 unit costs the same whatever the number of landmarks.
 
-A text's score is the mean of its two highest units' values; the cut is put into the widest gap that
+A text's score is the mean of its two highest units' values, or its only unit's value; the cut is put into the widest gap that
 separates the labelled texts best.
 
 Defined cases: a null, empty or wordless text is scored as ``EMPTY`` and kept as clean; a label of a
@@ -197,7 +197,7 @@ def units_of(text: str | None) -> list[str]:
 
 def pooled(values: list[float]) -> float:
     if len(values) < 2:
-        return (values[0] + EMPTY) / 2 if values else EMPTY
+        return values[0] if values else EMPTY
     top = max(values)
     values.remove(top)
     return (top + max(values)) / 2

@@ -81,3 +81,11 @@ def test_held_out_documents(spark, sf):
     print(hit[y].mean(), hit[~y].mean())
     # Insults of some languages occur only a few times in so few labels.
     assert hit[y].mean() > 0.8 and hit[~y].mean() < 0.03
+
+
+def test_texts_of_one_word():
+    m = svm.fit(*zip(*labelled(400, 1)))
+    for insult in ("moron", "worthless", "pathetic", "idiot"):
+        assert m.scores([insult])[0] > m.cut, insult
+    clean = sorted({u for t, y in labelled(200, 3) if not y for u in t.split()})
+    assert (m.scores(clean) > m.cut).mean() < 0.02
