@@ -10,8 +10,9 @@ surroundings (all windows that hold the anchor) go to the first document that ha
 a group's segments are laid out in order, a suffix array is built by prefix doubling, and previous
 and next smaller positions in suffix order give each position's longest earlier match.  So every
 window's first and later occurrences are in one group, and the result is that of one suffix array
-over the whole corpus.  Groups of many documents are worked off in salted parts first, of which only
-each part's first occurrences go on; no number of documents is too large and none is left out.
+over the whole corpus.  Groups of many words are worked off in parts of about ``part`` words, by text;
+windows that are the first of their kind in their part then meet those of other parts by hash, so
+that no task holds a whole group, also if its documents have nothing but the anchor in common.
 
 Exact copies of a text are settled by its hash: later ones lose all words if they have ``least``.
 
@@ -29,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
-from .vec import SQL_WORDS, Words, chunks
+from .shared import free, settle
+from .vec import GRAM, SQL_WORDS, Words, chunks
 
 LEAST = 50
 ANCHOR = 10
-PART = 1000
+#: Words of a group that one task sorts; of segments that are sent, or small groups that are sorted, at once.
+PART, SEND, ENOUGH = 500_000, 250_000, 200_000
 LAST = 2**63 - 1
 
 
@@ -62,15 +64,19 @@ def anchors(hashes: np.ndarray, least: int, anchor: int) -> tuple[np.ndarray, np
     return at, g[at]
 
 
+def _narrow(rank: np.ndarray) -> np.ndarray:
+    return rank.astype(np.int32) if len(rank) < 2**31 else rank
+
+
 def suffix_ranks(x: np.ndarray) -> list[np.ndarray]:
     """Ranks of all suffixes by their first 1, 2, 4, ... symbols, until no two are equal."""
     rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
-    levels, size = [rank], 1
+    levels, size = [_narrow(rank)], 1
     while size < len(x) and rank.max() < len(x) - 1:
         key = (rank + 1) * (len(x) + 2)
         key[:-size] += rank[size:] + 1
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        levels.append(rank)
+        levels.append(_narrow(rank))
         size *= 2
     return levels
 
@@ -127,47 +133,112 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _key() -> Column:
-    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
-_SEGMENT = "owner string, salt int, fid long, h string, start int, words binary"
-_ROWS = pa.schema([("owner", pa.string()), ("salt", pa.int32()), ("fid", pa.int64()), ("h", pa.string()), ("start", pa.int32()), ("words", pa.binary()), ("final", pa.bool_()), ("stop", pa.int32())])
-
-
-def _group(least: int, final: bool):
-    """Of one group's segments: rows of words to be removed (start, stop), and unless final the segments that go on."""
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t["fid"].to_pylist(), t["h"].to_pylist(), t["start"].to_pylist(), t["words"].to_pylist(), t["owner"].to_pylist()))
-        out: list[tuple] = []
-        seen, kept = set(), []
-        for r in rows:  # repeated rows of one text
-            if r[1:3] not in seen:
-                seen.add(r[1:3])
-                kept.append(r)
-        words = [np.frombuffer(r[3], np.uint64) for r in kept]
-        ends = np.cumsum([len(w) + 1 for w in words])
-        known, of = np.unique(np.concatenate(words), return_inverse=True)
-        x = np.empty(int(ends[-1]), np.int64)
-        x[ends - 1] = len(known) + np.arange(len(words))  # ends of segments are unlike all else
-        inside = np.ones(len(x), bool)
-        inside[ends - 1] = False
-        x[inside] = of
-        previous = longest_previous(x, least)
-        for r, w, a in zip(kept, words, (ends - [len(w) + 1 for w in words]).tolist()):
-            p = previous[a : a + len(w)]
-            again = np.flatnonzero(p >= least)
-            for b, e in _merge([(i, i + int(p[i])) for i in again.tolist()]):
-                out.append((r[4], 0, r[0], r[1], r[2] + b, None, True, r[2] + e))
-            if not final:
-                first = np.flatnonzero((p < least)[: max(0, len(w) - least + 1)])
-                for b, e in _merge([(i, i + least) for i in first.tolist()]):
-                    out.append((r[4], 0, r[0], r[1], r[2] + b, w[b:e].tobytes(), False, 0))
-        return pa.Table.from_pylist([dict(zip(_ROWS.names, o)) for o in out], _ROWS)
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def _halves(h: pa.Array) -> np.ndarray:
+    """16-byte names as two numbers each."""
+    return np.frombuffer(b"".join(h.to_pylist()), np.uint64).reshape(-1, 2)
+
+
+def _packed(words: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Runs of words of these sizes, each as bytes."""
+    ends = np.concatenate([[0], np.cumsum(size * 8)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(words))])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _unions(start: np.ndarray, stop: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which spans begin a union of overlapping or touching ones, and which end it; spans in order, stops rising within ``of``."""
+    new = np.ones(len(start), bool)
+    new[1:] = (of[1:] != of[:-1]) | (start[1:] > stop[:-1])
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], len(start))[: len(first)] - 1
+
+
+_FOUND = pa.schema([("h", pa.binary()), ("fid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("window", pa.int64())])
+_FOUND_SQL = "h binary, fid long, start int, stop int, window long"
+
+
+def _matches(rows: pa.Table, least: int) -> pa.RecordBatch:
+    """Of whole groups (owner, salt), in order: word spans that occurred earlier in their group (window null), and, of groups
+    that are one part of several, the windows that are the first of their kind in it, by hash."""
+    h = _halves(rows["h"].combine_chunks())
+    owner, salt, start = rows["owner"].to_numpy(), rows["salt"].to_numpy(), rows["start"].to_numpy().astype(np.int64)
+    group = np.cumsum(np.concatenate([[True], (owner[1:] != owner[:-1]) | (salt[1:] != salt[:-1])]))
+    same = np.zeros(len(h), bool)  # repeated rows of one text
+    same[1:] = (group[1:] == group[:-1]) & (start[1:] == start[:-1]) & (h[1:] == h[:-1]).all(1)
+    if same.any():
+        rows, group, start = rows.filter(pa.array(~same)), group[~same], start[~same]
+    size = rows["size"].to_numpy().astype(np.int64)
+    words = np.frombuffer(b"".join(rows["words"].to_pylist()), np.uint64)
+    begin = np.cumsum(size + 1) - (size + 1)
+    inside = np.ones(len(words) + len(size), bool)
+    inside[begin + size] = False
+    # Groups don't meet: a symbol is a word of a group.  Ends of segments are unlike all else.
+    known, of = np.unique(words + np.repeat(group, size).astype(np.uint64) * np.uint64(GRAM), return_inverse=True)
+    x = np.empty(len(inside), np.int64)
+    x[inside], x[~inside] = of, len(known) + np.arange(len(size))
+    previous = longest_previous(x, least)
+    segment = np.repeat(np.arange(len(size)), size + 1)
+    again = np.flatnonzero(previous >= least)
+    stop = again + previous[again]
+    first, last = _unions(again, stop, segment[again])
+    at, to, windows = [again[first]], [stop[last]], [pa.nulls(len(first), pa.int64())]
+    more = rows["parts"].to_numpy()[segment] > 1
+    if more.any():
+        fresh = np.flatnonzero(more & inside & (previous < least))
+        fresh = fresh[fresh + least <= (begin + size)[segment[fresh]]]
+        at.append(fresh)
+        to.append(fresh + least)
+        hashes = Words.grams_of(words, least)
+        windows.append(pa.array(hashes[fresh - segment[fresh]].view(np.int64)))
+    at, to = np.concatenate(at), np.concatenate(to)
+    who = segment[at]
+    shift = start[who] - begin[who]
+    take = pa.array(who)
+    return pa.RecordBatch.from_arrays([rows["h"].take(take).combine_chunks(), rows["fid"].take(take).combine_chunks(), pa.array((at + shift).astype(np.int32)), pa.array((to + shift).astype(np.int32)), pa.concat_arrays(windows)], schema=_FOUND)
+
+
+def _grouped(least: int, enough: int):
+    """Rows sorted by group come in batches; whole groups are worked off together, ``enough`` words or one group at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.column("size").to_numpy().sum() for b in held) < enough:
+                continue
+            t = pa.Table.from_batches(held)
+            owner, salt = t["owner"].to_numpy(), t["salt"].to_numpy()
+            open_ = int(np.flatnonzero((owner != owner[-1]) | (salt != salt[-1]))[-1]) + 1 if (owner[0], salt[0]) != (owner[-1], salt[-1]) else 0
+            if open_:
+                yield from _split(t.slice(0, open_), least, enough)
+                held = t.slice(open_).to_batches()
+        if held:
+            yield from _split(pa.Table.from_batches(held), least, enough)
 
     return run
 
 
+def _split(t: pa.Table, least: int, enough: int) -> Iterator[pa.RecordBatch]:
+    """Whole groups, in runs that end with the group that reaches ``enough`` words."""
+    owner, salt, upto = t["owner"].to_numpy(), t["salt"].to_numpy(), np.cumsum(t["size"].to_numpy().astype(np.int64))
+    ends = np.append(np.flatnonzero((owner[1:] != owner[:-1]) | (salt[1:] != salt[:-1])) + 1, len(owner))
+    a = 0
+    while a < len(owner):
+        base = upto[a - 1] if a else 0
+        b = int(ends[min(np.searchsorted(upto[ends - 1], base + enough), len(ends) - 1)])
+        yield _matches(t.slice(a, b - a), least)
+        a = b
+
+
 def repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, part: int = PART) -> DataFrame:
     """(h, spans): for each distinct text, by md5, the word spans that occurred before in another text or earlier in it."""
     if not 1 <= anchor <= least:
@@ -176,52 +247,57 @@ def repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, part: int
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, ids = batch.column(0).to_pylist(), batch.column(1).fill_null(LAST)
+            h, ids = batch.column(0), batch.column(1).fill_null(LAST)
             for at, run in chunks(batch.column(2).to_pylist()):
                 w = Words(run)
                 found = [anchors(w.hash[a:b], least, anchor) for a, b in zip(w.ptr[:-1].tolist(), w.ptr[1:].tolist())]
                 n = [len(p) for p, _ in found]
-                who = np.repeat(np.arange(at, at + len(run)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g for _, g in found]).view(np.int64)), pa.array(h, pa.string()).take(pa.array(who)), pa.array(np.concatenate([p for p, _ in found]).astype(np.int32)), ids.take(pa.array(who))], ["anchor", "h", "pos", "fid"])
+                who = pa.array(np.repeat(np.arange(at, at + len(run)), n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g for _, g in found]).view(np.int64)), h.take(who), pa.array(np.concatenate([p for p, _ in found]).astype(np.int32)), ids.take(who)], ["anchor", "h", "pos", "fid"])
 
     # One shuffle by anchor serves copies, counts and owners.
     by = Window.partitionBy("anchor")
-    found = keyed.mapInArrow(find, "anchor long, h string, pos int, fid long").withColumn("h", F.unhex("h")).repartition("anchor")
+    found = keyed.mapInArrow(find, "anchor long, h binary, pos int, fid long").repartition("anchor")
     found = found.groupBy("anchor", "h", "pos").agg(F.min("fid").alias("fid"))
-    shared = found.select("*", F.count("*").over(by).alias("n"), F.min(F.struct("fid", "h")).over(by)["h"].alias("owner")).where("n > 1")
-    wanted = shared.groupBy("h").agg(F.min("fid").alias("fid"), F.collect_list(F.struct(F.lower(F.hex("owner")).alias("owner"), "pos", "n")).alias("at")).withColumn("h", F.lower(F.hex("h")))
+    first = F.min(F.struct("fid", "h")).over(by)
+    shared = found.select("*", F.count("*").over(by).alias("n"), F.xxhash64(first["fid"], first["h"]).alias("owner")).where("n > 1")
+    wanted = shared.groupBy("h").agg(F.min("fid").alias("fid"), F.collect_list(F.struct("owner", "pos")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fid, hs, ats = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            fid, h, lists = batch.column(0), batch.column(1), batch.column(3)
+            ends, owners, places = lists.offsets.to_numpy(), lists.values.field(0).to_numpy(), lists.values.field(1).to_numpy()
             for at, run in chunks(batch.column(2).to_pylist()):
-                w, out = Words(run), []
-                for d in range(len(run)):
-                    a, b = int(w.ptr[d]), int(w.ptr[d + 1])
-                    spans: dict[str, list[tuple[int, int]]] = {}
-                    most: dict[str, int] = {}
-                    for x in ats[at + d].as_py():
-                        spans.setdefault(x["owner"], []).append((max(0, x["pos"] - least + anchor), min(b - a, x["pos"] + least)))
-                        most[x["owner"]] = max(most.get(x["owner"], 0), x["n"])
-                    for owner, s in spans.items():
-                        # The salt goes by the text, so that both levels see whole segments; owners of few texts have one part.
-                        salt = int(hs[at + d][:8], 16)
-                        for i, j in _merge(s):
-                            out.append((owner, salt, fid[at + d], hs[at + d], i, w.hash[a + i : a + j].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("owner", "salt", "fid", "h", "start", "words"), o)) for o in out], pa.schema([("owner", pa.string()), ("salt", pa.int64()), ("fid", pa.int64()), ("h", pa.string()), ("start", pa.int32()), ("words", pa.binary())]))
+                w, own = Words(run), ends[at : at + len(run) + 1]
+                text = np.repeat(np.arange(len(run)), np.diff(own))
+                owner, pos = owners[own[0] : own[-1]], places[own[0] : own[-1]].astype(np.int64)
+                order = np.lexsort((pos, owner, text))
+                text, owner, pos = text[order], owner[order], pos[order]
+                start, stop = np.maximum(0, pos - least + anchor), np.minimum(np.diff(w.ptr)[text], pos + least)
+                kind = np.cumsum(np.concatenate([[0], (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])]))
+                first, last = _unions(start, stop, kind)
+                text, owner, start, size = text[first], owner[first], start[first], stop[last] - start[first]
+                upto, a = np.cumsum(size), 0
+                while a < len(size):  # batches of bounded bytes, or one segment
+                    b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SEND, "right")))
+                    who = pa.array(text[a:b] + at)
+                    words = w.hash[_ranges(w.ptr[text[a:b]] + start[a:b], size[a:b])]
+                    yield pa.RecordBatch.from_arrays([pa.array(owner[a:b]), fid.take(who), h.take(who), pa.array(start[a:b].astype(np.int32)), pa.array(size[a:b].astype(np.int32)), _packed(words, size[a:b])], ["owner", "fid", "h", "start", "size", "words"])
+                    a = b
 
     texts = keyed.select("h", F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    segments = texts.join(wanted, (texts["h"] == wanted["h"]) & (texts["doc_id"] == wanted["fid"])).select("fid", texts["h"].alias("h"), "text", "at").mapInArrow(cut, "owner string, salt long, fid long, h string, start int, words binary")
-    segments = settle(segments)  # three plans read it
-    parts = segments.groupBy("owner").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")
-    salted = segments.join(parts, "owner", "left").withColumn("salt", F.pmod("salt", F.coalesce("parts", F.lit(1))).cast("int"))
-    kinds = _SEGMENT + ", final boolean, stop int"
-    one = salted.where("parts is null").groupBy("owner").applyInArrow(_group(least, True), kinds)
-    first = salted.where("parts is not null").groupBy("owner", "salt").applyInArrow(_group(least, False), kinds)
-    first = settle(first)
-    second = first.where("not final").groupBy("owner").applyInArrow(_group(least, True), kinds)
-    spans = one.unionByName(first.where("final")).unionByName(second)
+    segments = texts.join(wanted, (texts["h"] == wanted["h"]) & (texts["doc_id"] == wanted["fid"])).select("fid", texts["h"].alias("h"), "text", "at").mapInArrow(cut, "owner long, fid long, h binary, start int, size int, words binary")
+    segments = settle(segments)  # two plans read it
+    parts = segments.groupBy("owner").agg(F.ceil(F.sum("size") / part).cast("int").alias("parts")).where("parts > 1")
+    # The salt goes by the text; owners of few words have one part.
+    salted = segments.join(parts, "owner", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    sorted_ = salted.repartition("owner", "salt").sortWithinPartitions("owner", "salt", "fid", "h", "start")
+    found = settle(sorted_.select("owner", "salt", "fid", "h", "start", "size", "words", "parts").mapInArrow(_grouped(least, min(part, ENOUGH)), _FOUND_SQL))
+    free(segments)
+    # First windows of one part may have occurred in another: they meet by hash, whatever their number.
+    earliest = F.min(F.struct("fid", "h", "start")).over(Window.partitionBy("window"))
+    across = found.where("window is not null").withColumn("earliest", earliest).where(F.struct("fid", "h", "start") > F.col("earliest"))
+    spans = found.where("window is null").select("h", "start", "stop").unionByName(across.select("h", "start", "stop"))
     return spans.groupBy("h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -39,10 +40,21 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
-    The table goes when the driver's process ends.
+    The table goes when it's freed, or else when the driver's process ends.
     """
     spark = ready(df.sparkSession)
     path = f"{shared_dir(spark)}/docquery-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove settled tables that no plan reads any more, and let Spark drop the shuffles of plans that are gone."""
+    for t in tables:
+        _remove(t.sparkSession, t._settled)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()

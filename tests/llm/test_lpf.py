@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.accumulators import AccumulatorParam
 
 from docquery.llm import lpf
 from docquery.llm.vec import Words
@@ -59,7 +60,7 @@ def test_documents_against_brute_force(spark):
     rows = [(i, ", ".join(random.choices(pool, k=random.randrange(1, 6))) + random.choice(["", ".", " x y z"])) for i in range(60)]
     rows += [(70, "a " * 40), (71, rows[3][1]), (71, rows[3][1])]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    for part in (1000, 2):
+    for part in (100_000, 60):
         got = sorted(map(tuple, lpf.deduplicate(d, 8, 3, part).collect()), key=repr)
         assert got == brute(rows, 8), part
 
@@ -71,3 +72,43 @@ def test_hostile_rows(hostile, empty):
     r = {x["doc_id"]: x for x in got.where("doc_id is not null").collect()}
     assert (r[10]["removed_words"], r[11]["removed_words"], r[11]["text"]) == (0, 70, "a second copy ")
     assert lpf.deduplicate(empty).count() == 0
+
+
+def test_many_documents_that_share_an_anchor_and_nothing_else(spark, monkeypatch):
+    """No task gets more than about a part's words, and nothing is removed."""
+    random.seed(8)
+    shared = "zero one two three four five six seven eight nine"
+    texts = [" ".join([*(f"a{random.randrange(10**6)}" for _ in range(30)), shared, *(f"b{random.randrange(10**6)}" for _ in range(30))]) for _ in range(5000)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    d = d.unionByName(d.limit(3).selectExpr("doc_id + 10000 AS doc_id", "concat(text, ' end') AS text"))
+    most = spark.sparkContext.accumulator(0, Most())
+    own = lpf._matches
+
+    def watched(rows, least):
+        most.add(int(np.sum(rows["size"].to_numpy())))
+        return own(rows, least)
+
+    monkeypatch.setattr(lpf, "_matches", watched)
+    grouped = lpf._grouped
+
+    def with_watch(least, enough):
+        run = grouped(least, enough)
+
+        def watching(batches):
+            lpf._matches = watched
+            yield from run(batches)
+
+        return watching
+
+    monkeypatch.setattr(lpf, "_grouped", with_watch)
+    got = lpf.deduplicate(d, 50, 10, 20_000)
+    assert sorted(r["doc_id"] for r in got.where("removed_words > 0").collect()) == [10000, 10001, 10002]
+    assert 0 < most.value < 60_000
+
+
+class Most(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
