@@ -1,23 +1,24 @@
 """Toxicity: a subsequence string kernel support vector machine with Nystroem landmarks.
 
 A unit is a blank-separated token, or a run of four or more single characters ("m o r o n"), lower-
-cased, with a mark at either end.  The kernel of two units sums, over common
-subsequences of 3 and 4 characters, decay ** (both spans), divided by the units' norms; so inserted
-characters and gaps cost similarity but don't break a match.  Characters other than letters only
-widen gaps.  Landmarks are spread over the training units; features are K(u, L) K(L, L) ** -1/2; a
-linear squared-hinge SVM is fitted on them with Newton steps.  Only labels of whole texts exist, so
-the units that count as insults are found by alternating between fitting and relabelling
-(multiple-instance SVM, begun from a greedy cover of the toxic texts).  As the kernel is linear in the
-weights of subsequences, the fitted function collapses into one table of subsequence weights, and a
-unit costs the same whatever the number of landmarks.
+cased, with a mark at either end; of a token longer than ``WINDOW`` every window is a unit.  The
+kernel of two units sums, over common subsequences of 3 and 4 characters that spread over at most
+``SPAN``, decay ** (both spans), divided by the units' norms; so inserted characters and gaps cost
+similarity but don't break a match.  Characters other than letters only widen gaps.  Half of the
+landmarks are insults far from each other, the others a sample of sound units; features are
+K(u, L) K(L, L) ** -1/2; a linear squared-hinge SVM over all units of the training texts is fitted on
+them with Newton steps (units beyond the margin have no part in its optimum, so only the others are
+held).  Only labels of whole texts exist, so the units that count as insults are found by
+alternating between fitting and relabelling (multiple-instance SVM, begun from a greedy cover of the
+toxic texts).  As the kernel is linear in the weights of subsequences, the fitted function collapses
+into one table of subsequence weights, and a unit costs the same whatever the number of landmarks.
 
 A text's score is the mean of its two highest units' values, or its only unit's value; the cut is put into the widest gap that
 separates the labelled texts best.
 
 Defined cases: a null, empty or wordless text is scored as ``EMPTY`` and kept as clean; a label of a
-missing document or without value is ignored; several labels of one doc_id count as its highest;
-without both classes in the labels nothing is rejected; whole texts are read, long units in
-overlapping pieces; repeated rows are scored alike; other columns pass untouched.
+missing document, of one without text or without value is ignored and doesn't use up the bound; several labels of one doc_id count as its highest;
+without both classes in the labels nothing is rejected; whole texts are read; repeated rows are scored alike; other columns pass untouched.
 """
 
 from __future__ import annotations
@@ -39,12 +40,15 @@ from pyspark.sql import functions as F
 from .vec import chunks
 
 DECAY = 0.6
-LONGEST, STEP = 24, 12
+#: Subsequences spread over at most SPAN characters; tokens longer than WINDOW come in windows of that length, one every STEP.
+SPAN, WINDOW, STEP = 9, 24, 12
 EMPTY = -10.0
 KNOWN = 300_000
 #: The classifier is fitted on at most so many labelled texts of each class, chosen by hash of doc_id.
 TRAIN_PER_CLASS = 1500
 LANDMARKS = 96
+#: Sound units that fitting begins with; the others take part as soon as the fitted function puts them over -1.
+BEGIN = 4000
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
 
 
@@ -64,14 +68,12 @@ def _alphabet() -> np.ndarray:
 
 
 def encode(units: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: (indexes of units, codes with end marks 27 and 28); units longer than LONGEST come in pieces."""
+    """By length: (indexes of units, codes with end marks 27 and 28)."""
     to, by = _alphabet(), {}
     for i, u in enumerate(units):
-        for a in range(0, max(1, len(u) - STEP), STEP) if len(u) > LONGEST else (0,):
-            piece = u[a : a + LONGEST]
-            at, texts = by.setdefault(len(piece), ([], []))
-            at.append(i)
-            texts.append(piece)
+        at, texts = by.setdefault(len(u), ([], []))
+        at.append(i)
+        texts.append(u)
     out = {}
     for n, (at, texts) in by.items():
         codes = np.empty((len(texts), n + 2), np.uint32)
@@ -83,7 +85,7 @@ def encode(units: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 @functools.cache
 def _places(width: int, p: int) -> tuple[np.ndarray, np.ndarray]:
-    at = np.array(list(combinations(range(width), p)), np.int64).reshape(-1, p)
+    at = np.array([x for i in range(width) for x in combinations(range(i, min(width, i + SPAN)), p) if x[0] == i], np.int64).reshape(-1, p)
     return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0) if len(at) else np.zeros(0)
 
 
@@ -103,38 +105,38 @@ SPACE = (1 << 15) + (1 << 20)
 
 
 def landmark(unit: str) -> dict[int, float]:
-    """The normalised weight of each subsequence of letters and marks in a unit of at most LONGEST characters."""
+    """The normalised weight of each subsequence of letters and marks in a unit."""
     found: dict[int, float] = {}
     for _, codes in encode([unit]).values():
         norm = norms(codes)[0]
         for p in (3, 4):
             (ids, weight), (at, _) = subsequences(codes, p), _places(codes.shape[1], p)
-            for x, y, places in zip(ids[0].tolist(), weight.tolist(), at):
-                if codes[0][places].all():
-                    found[x] = found.get(x, 0.0) + y / norm
+            whole = codes[0][at].all(1) if len(at) else np.zeros(0, bool)
+            for x, y in zip(ids[0][whole].tolist(), weight[whole].tolist()):
+                found[x] = found.get(x, 0.0) + y / norm
     return found
 
 
 def norms(codes: np.ndarray) -> np.ndarray:
-    """sqrt(K(u, u)) before normalising."""
-    n, w = codes.shape
-    same = ((codes[:, :, None] == codes[:, None, :]) & (codes[:, :, None] > 0)).astype(np.float32)
-    i = np.arange(w)
-    step = np.where(i[:, None] > i[None, :], DECAY ** (i[:, None] - i[None, :]).clip(0), 0.0).astype(np.float32)
-    a, total = same * np.float32(DECAY**2), np.zeros(n)
-    for q in range(2, 5):
-        right = (a.reshape(-1, w) @ step.T).reshape(n, w, w)
-        a = same * (right.transpose(0, 2, 1).reshape(-1, w) @ step.T).reshape(n, w, w).transpose(0, 2, 1)
+    """Of each unit the root of the summed squared weights of its subsequences, each place counted by itself."""
+    letters, fade = (codes > 0).astype(float).T, DECAY**2
+    ending, total = letters * fade, np.zeros(len(codes))
+    for q in (2, 3, 4):
+        carried, longer = np.zeros(len(codes)), np.zeros_like(ending)
+        for j in range(1, len(ending)):
+            carried = fade * (carried + ending[j - 1])
+            longer[j] = letters[j] * carried
+        ending = longer
         if q >= 3:
-            total += a.sum((1, 2))
+            total += ending.sum(0)
     return np.sqrt(np.maximum(total, 1e-12))
 
 
 def kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel of each unit (its best piece) with each landmark."""
+    """Normalised kernel of each unit with each landmark."""
     sub: dict[int, np.ndarray] = {}
     for j, u in enumerate(landmarks):
-        for x, y in landmark(u[:LONGEST]).items():
+        for x, y in landmark(u).items():
             sub.setdefault(x, np.zeros(len(landmarks), np.float32))[j] += y
     row = np.zeros(SPACE + 1, np.int32)
     matrix = np.zeros((len(sub) + 1, len(landmarks)), np.float32)
@@ -143,16 +145,17 @@ def kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
     out = np.zeros((len(units), len(landmarks)), np.float32)
     for at, codes in encode(units).values():
         for a in range(0, len(codes), 2000):
-            c, k = codes[a : a + 2000], 0
+            c = codes[a : a + 2000]
+            k = np.zeros((len(c), len(landmarks)), np.float32)
             for p in (3, 4):
                 ids, weight = subsequences(c, p)
                 hit = row[ids]
                 who, place = np.nonzero(hit)
-                part = np.zeros((len(c), len(landmarks)), np.float32)
-                for b in range(0, len(who), 200_000):
-                    np.add.at(part, who[b : b + 200_000], matrix[hit[who[b : b + 200_000], place[b : b + 200_000]]] * weight[place[b : b + 200_000], None].astype(np.float32))
-                k = k + part
-            np.maximum.at(out, at[a : a + 2000], k / norms(c)[:, None].astype(np.float32))
+                for b in range(0, len(who), 100_000):
+                    w, q = who[b : b + 100_000], place[b : b + 100_000]
+                    first = np.flatnonzero(np.diff(w, prepend=-1))
+                    k[w[first]] += np.add.reduceat(matrix[hit[w, q]] * weight[q, None].astype(np.float32), first)
+            out[at[a : a + 2000]] = k / norms(c)[:, None].astype(np.float32)
     return out
 
 
@@ -166,7 +169,7 @@ class Model:
         self.known: dict[str, float] = {}
 
     def values(self, units: list[str]) -> np.ndarray:
-        """The SVM's function for each unit: the highest of its pieces."""
+        """The SVM's function for each unit."""
         out = np.full(len(units), EMPTY)
         for at, codes in encode(units).values():
             for a in range(0, len(codes), 4000):
@@ -175,7 +178,7 @@ class Model:
                     if c.shape[1] >= p:
                         ids, weight = subsequences(c, p)
                         f = f + self.table[ids] @ weight
-                np.maximum.at(out, at[a : a + 4000], f / norms(c) + self.bias)
+                out[at[a : a + 4000]] = f / norms(c) + self.bias
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -192,7 +195,10 @@ def units_of(text: str | None) -> list[str]:
     if not text:
         return []
     text = text.lower()
-    return [*text.split(), *("".join(m.split()) for m in SPACED.findall(text))]
+    tokens = [*text.split(), *("".join(m.split()) for m in SPACED.findall(text))]
+    if max(map(len, tokens), default=0) <= WINDOW:
+        return tokens
+    return [u[a : a + WINDOW] for u in tokens for a in range(0, max(1, len(u) - WINDOW + STEP), STEP)]
 
 
 def pooled(values: list[float]) -> float:
@@ -273,33 +279,42 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS, r
     often = Counter(u for b in single for u in b)
     positive |= {u for u, n in often.items() if not in_good[u] and n * chance > math.log(len(often)) + 5}
     half = landmarks // 2
-    rare = sorted(in_good, key=lambda u: (hash32(u), u))
-    negatives = rare[:20_000]
+    every = sorted(in_good, key=lambda u: (hash32(u), u))
+    units = sorted(in_bad)
+    active = np.zeros(len(every), bool)
+    active[:BEGIN] = True
     for r in range(rounds):
         pos = sorted(positive, key=lambda u: (-in_bad[u], u))
-        marks = _spread(pos, half) + _spread(negatives[:1500], landmarks - half)
-        marks = list(dict.fromkeys(u[:LONGEST] for u in marks))
+        chosen = _spread(pos, half)
+        marks = list(dict.fromkeys(chosen + every[: landmarks - len(chosen)]))  # of sound units a sample by hash
         kll = kernel(marks, marks).astype(float)
         value, vector = np.linalg.eigh((kll + kll.T) / 2)
         root = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
-        x = kernel(pos + negatives, marks).astype(float) @ root
-        y = np.r_[np.ones(len(pos)), -np.ones(len(negatives))]
+        parts = [landmark(u) for u in marks]
         # A positive that many toxic texts share is surer than one that only one has.
-        sure = np.array([min(in_bad[u], 20) for u in pos], float)
-        weight = np.r_[sure * (len(negatives) / sure.sum() / 2), np.ones(len(negatives))]
-        w = _newton(x, y, weight, ridge)
-        beta = root @ w[:-1]
-        table = np.zeros(SPACE + 1)
-        for j, u in enumerate(marks):
-            for x, y in landmark(u).items():
-                table[x] += beta[j] * y
-        model = Model(table.astype(np.float32), float(w[-1]), 0.0)
+        sure = np.array([in_bad[u] for u in pos], float)
+        x, order, new = kernel(pos, marks) @ root, np.zeros(0, np.int64), np.flatnonzero(active)
+        while len(new):
+            # A sound unit at or under -1 has no part in the optimum, so adding those over it until there are none left out fits them all.
+            order = np.concatenate([order, new])
+            x = np.vstack([x, kernel([every[i] for i in new.tolist()], marks) @ root])
+            y = np.r_[np.ones(len(pos)), -np.ones(len(order))]
+            w = _newton(x, y, np.r_[sure * (len(every) / sure.sum() / 2), np.ones(len(order))], ridge)
+            beta = root @ w[:-1]
+            table = np.zeros(SPACE + 1)
+            for b, found in zip(beta.tolist(), parts):
+                for i, v in found.items():
+                    table[i] += b * v
+            model = Model(table.astype(np.float32), float(w[-1]), 0.0)
+            over = model.values(every) > -1
+            used = np.zeros(len(every), bool)
+            used[order] = True
+            new = np.flatnonzero(over & ~used)
+            active = over
         if r + 1 < rounds:
-            units = sorted(in_bad)
             value_of = dict(zip(units, model.values(units).tolist()))
             positive |= {u for u in units if value_of[u] > 0 and not in_good[u]}
-            wrong = [u for u, v in zip(rare, model.values(rare).tolist()) if v > -1]
-            negatives = list(dict.fromkeys(wrong[:20_000] + rare[:20_000]))
+            active[:BEGIN] = True
     low = sorted(model.scores([t for t, y in zip(texts, toxic) if t and not y]).tolist())
     high = sorted(model.scores([t for t, y in zip(texts, toxic) if t and y]).tolist())
     model.cut = _cut(low, high)
@@ -326,23 +341,23 @@ def hash32(s: str) -> int:
 
 
 def _spread(units: list[str], n: int) -> list[str]:
-    """n units far from each other: the first, then always the one whose nearest chosen one is least similar."""
-    units = units[:1500]
+    """n units far from each other: half of them the first ones, then always the four whose nearest chosen one is least similar."""
     if len(units) <= n:
         return list(units)
-    first = units[: max(1, n // 2)]
-    near = kernel(units, first).max(1)
-    chosen = list(first)
+    chosen = list(units[: max(1, n // 2)])
+    near = kernel(units, chosen).max(1)
     while len(chosen) < n:
-        i = int(np.argmin(near))
-        chosen.append(units[i])
-        near = np.maximum(near, kernel(units, [units[i]])[:, 0])
+        more = [units[i] for i in np.argsort(near, kind="stable")[: min(4, n - len(chosen))]]
+        chosen += more
+        near = np.maximum(near, kernel(units, more).max(1))
     return chosen
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, **how) -> Model | None:
     """Fit on at most ``per_class`` labelled documents of each class; the choice goes by hash, not by order."""
     labelled = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    with_text = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    labelled = labelled.join(with_text, "doc_id", "left_semi")
     share = F.xxhash64("doc_id")
     picked = labelled.where("toxic <> 0").orderBy(share, "doc_id").limit(per_class).unionByName(labelled.where("toxic = 0").orderBy(share, "doc_id").limit(per_class))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -12,11 +12,21 @@ def ssk(s, t, p, decay=svm.DECAY):
     total = 0.0
     for i in combinations(range(len(s)), p):
         for j in combinations(range(len(t)), p):
-            if all(s[a] == t[b] and s[a] for a, b in zip(i, j)):
+            if max(i[-1] - i[0], j[-1] - j[0]) < svm.SPAN and all(s[a] == t[b] and s[a] for a, b in zip(i, j)):
                 total += decay ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
     return total
 
 
+def direct(a, b):
+    """The normalised kernel by sums over all places; a norm counts each place by itself."""
+    from itertools import combinations
+
+    def norm(c):
+        return max(1e-12, sum(svm.DECAY ** (2 * (i[-1] - i[0] + 1)) for p in (3, 4) for i in combinations(range(len(c)), p) if all(c[x] for x in i))) ** 0.5
+
+    return sum(ssk(codes(a), codes(b), p) for p in (3, 4)) / (norm(codes(a)) * norm(codes(b)))
+
+
 def codes(unit):
     ((_, c),) = svm.encode([unit]).values()
     return c[0].tolist()
@@ -27,8 +37,7 @@ def test_kernel_against_direct_sum():
     k = svm.kernel(units, units)
     for i, a in enumerate(units):
         for j, b in enumerate(units):
-            own = lambda u: max(1e-12, ssk(codes(u), codes(u), 3) + ssk(codes(u), codes(u), 4))
-            want = (ssk(codes(a), codes(b), 3) + ssk(codes(a), codes(b), 4)) / (own(a) * own(b)) ** 0.5
+            want = direct(a, b)
             assert abs(k[i, j] - want) < 1e-4, (a, b)
 
 
@@ -89,3 +98,51 @@ def test_texts_of_one_word():
         assert m.scores([insult])[0] > m.cut, insult
     clean = sorted({u for t, y in labelled(200, 3) if not y for u in t.split()})
     assert (m.scores(clean) > m.cut).mean() < 0.02
+
+
+def test_values_and_scores_against_the_sum_over_landmarks(monkeypatch):
+    """The table that production uses gives the SVM's function, bias + sum of weight * K(u, landmark)."""
+    seen = {}
+    own = svm._newton
+
+    def newton(x, y, weight, ridge):
+        seen["w"] = own(x, y, weight, ridge)
+        return seen["w"]
+
+    eigh = np.linalg.eigh
+
+    def marks(units, landmarks):
+        if units is landmarks:
+            seen["marks"] = list(landmarks)
+        return kernel(units, landmarks)
+
+    kernel = svm.kernel
+    monkeypatch.setattr(svm, "_newton", newton)
+    monkeypatch.setattr(svm, "kernel", marks)
+    texts, toxic = zip(*labelled(60, 1))
+    m = svm.fit(texts, toxic, landmarks=12, rounds=2)
+    k = np.array([[direct(a, b) for b in seen["marks"]] for a in seen["marks"]])
+    value, vector = eigh(k)
+    beta = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T @ seen["w"][:-1]
+    units = ["moron", "idi..ot", "whered", "x", "ouled"]
+    want = [sum(b * direct(u, v) for b, v in zip(beta, seen["marks"])) + m.bias for u in units]
+    assert np.abs(m.values(units) - want).max() < 2e-2
+    high = sorted(want)[-2:]
+    assert abs(m.scores([" ".join(units)])[0] - sum(high) / 2) < 2e-2
+
+
+def test_insults_of_40_characters():
+    insult = "pneumonoultramicroscopicsilicovolcanofool"
+    rows = [(f"{t} {insult} and {insult}", 1) if y else (t, 0) for t, y in labelled(200, 1)]
+    m = svm.fit(*zip(*rows))
+    tail = insult[20:]
+    assert m.scores([f"they say {insult} twice {insult}"])[0] > m.cut
+    assert m.scores([f"they say {tail} twice {tail}"])[0] > m.scores(["they say where then twice"])[0]
+    assert len(svm.units_of("x" * 1000)) == 83 and svm.units_of("x" * 24) == ["x" * 24] and max(map(len, svm.units_of("x" * 1000))) == 24
+
+
+def test_labels_without_text_do_not_use_up_the_bound(spark):
+    rows = labelled(60, 5)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)] + [(i, i % 2) for i in range(1000, 3000)], "doc_id long, toxic int")
+    assert svm.train(docs, labels, per_class=30) is not None
