@@ -12,8 +12,9 @@ Answer level: equal sets are one set.  Of each neighbourhood of candidates one s
 others' sets come once to the leader's group and are reduced to their differences from it (candidates that parity signatures rule out aren't sent).  Overlaps
 of any two of them follow from the leader's size and the differences alone
 (|r & s| = |L| - |L-r| - |L-s| + |(L-r) & (L-s)| + |(r-L) & (s-L)|), so a set's answers are
-derived from those of the set it resembles.  Nothing is capped, and the join is exact up to
-collisions of 58-bit hashes.
+derived from those of the set it resembles: the leader's overlap with s is known, and the few
+n-grams by which r differs from the leader change it.  Nothing is capped, and the join is exact up to
+collisions of 57 bits of hashes.
 
 Defined cases: null, empty and wordless texts have no n-grams and no partners; a text of 1 to n - 1
 words has one n-gram; rows without doc_id can't be named and are left out of the join (and kept by
@@ -32,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import free, settle
 from .vec import SQL_WORDS, Words, chunks, mix
 
 N = 2
 THRESHOLD = "0.6"
-#: Buckets that hold more n-grams than that count as frequent, the fullest HEAVY of them.
+#: Buckets that hold more n-grams than that count as frequent; about HEAVY of the fullest are told apart (and broadcast).
 USUAL, HEAVY = 8, 4_000_000
 FLUSH, STRIDE = 1_500_000, 1 << 19
 
@@ -47,7 +48,7 @@ class Rarity:
 
     def __init__(self, bits: int, buckets: np.ndarray, classes: np.ndarray):
         order = np.argsort(buckets)
-        self.bits, self.buckets, self.classes = bits, buckets[order].astype(np.uint32), classes[order].astype(np.uint8)
+        self.bits, self.buckets, self.classes = bits, buckets[order].astype(np.uint32 if bits <= 32 else np.uint64), classes[order].astype(np.uint8)
 
     def __getstate__(self) -> tuple:
         return self.bits, self.buckets, self.classes
@@ -66,22 +67,22 @@ class Rarity:
         out = np.zeros(len(g), np.uint64)
         maybe = np.flatnonzero(self.filter[(g >> np.uint64(42)).view(np.int64)])
         if len(maybe):
-            bucket = (g[maybe] >> np.uint64(64 - self.bits)).astype(np.uint32)
+            bucket = (g[maybe] >> np.uint64(64 - self.bits)).astype(self.buckets.dtype)
             at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
             out[maybe] = np.where(self.buckets[at] == bucket, self.classes[at], 0).astype(np.uint64)
         return out
 
 
 def rarity(docs: DataFrame, n: int) -> Rarity:
-    """Count all documents' n-grams in hash buckets, as many that one holds about one on average, up to 2**32.
+    """Count all documents' n-grams in hash buckets, as many that one holds about one on average.
 
     Tasks send sorted bucket numbers as deltas (about a byte each), by range of buckets.  Only
-    buckets over USUAL are kept, and of these the fullest HEAVY at most: the order decides what the
-    join costs, never its result.
+    buckets over USUAL are kept, and of these about the fullest HEAVY, so that what is broadcast
+    stops growing: the order decides what the join costs, never its result.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(size, 1) / 8)), 16, 32))
-    range_bits = min(bits, 20)
+    bits = int(np.clip(np.ceil(np.log2(max(size, 1) / 8)), 16, 48))
+    range_bits, kind = min(bits, 20), np.uint32 if bits <= 32 else np.uint64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -97,7 +98,7 @@ def rarity(docs: DataFrame, n: int) -> Rarity:
 
         for batch in batches:
             for _, run in chunks(batch.column(0).to_pylist()):
-                held.append((np.concatenate(Words(run).grams(n)) >> np.uint64(64 - bits)).astype(np.uint32))
+                held.append((np.concatenate(Words(run).grams(n)) >> np.uint64(64 - bits)).astype(kind))
                 if sum(map(len, held)) > FLUSH:
                     yield out()
                     held = []
@@ -113,12 +114,14 @@ def rarity(docs: DataFrame, n: int) -> Rarity:
         return pa.table({"bucket": pa.array((t["part"][0].as_py() << range_bits) + heavy), "kind": pa.array((np.log2(total[heavy] / USUAL).astype(np.int32) + 1).astype(np.int32))})
 
     heavy = settle(docs.select("text").mapInArrow(count, "part int, deltas binary").groupBy("part").applyInArrow(add, "bucket long, kind int"))
-    least, rows = 99, 0
+    least, share, rows = 0, 1.0, 0
     for r in sorted(heavy.groupBy("kind").count().collect(), reverse=True):
-        if rows + r["count"] > HEAVY:
+        if rows + r["count"] > HEAVY:  # of this class a share by hash, so that cost rises without a step
+            least, share = r["kind"], (HEAVY - rows) / r["count"]
             break
-        least, rows = r["kind"], rows + r["count"]
-    t = heavy.where(F.col("kind") >= least).toArrow()
+        rows += r["count"]
+    t = heavy.where((F.col("kind") > least) | (F.col("kind") == least) & (F.pmod(F.xxhash64("bucket"), F.lit(1 << 20)) < share * (1 << 20))).toArrow()
+    free(heavy)
     return Rarity(bits, t["bucket"].to_numpy(), np.minimum(t["kind"].to_numpy(), 40))
 
 
@@ -281,9 +284,9 @@ def verify(lead: np.ndarray, sets: dict[int, np.ndarray], a: np.ndarray, b: np.n
 
 
 class Join:
-    """The join's parts, as settled tables: ``members`` (doc_id, h, sid) and ``pairs`` (a, b, doc_a, doc_b, jaccard) of set ids with their first documents."""
+    """The join's parts, as settled tables: ``members`` (doc_id, h, sid) and ``pairs`` (a, b, jaccard) of set ids; with ``stars`` only rows that connect what similar pairs connect, jaccard null."""
 
-    def __init__(self, docs: DataFrame, n: int = N, threshold: str | float = THRESHOLD):
+    def __init__(self, docs: DataFrame, n: int = N, threshold: str | float = THRESHOLD, stars: bool = False):
         s, spark = Sizes(threshold), docs.sparkSession
         named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
         classes = spark.sparkContext.broadcast(rarity(named, n))  # HEAVY entries at most
@@ -307,12 +310,12 @@ class Join:
                     prev = [np.concatenate([[np.uint64(0)], k[: p - 1] | np.uint64(1)]) for k, p in zip(sets, most.tolist())]
                     pos = np.arange(int(most.sum())) - np.repeat(np.cumsum(most) - most, most)
                     ids = np.repeat(np.array([set_id(k) for k in sets]), most)
-                    # What rows of a set share comes first and token and position share a number: some 17 bytes a row
+                    # What rows of a set share comes first and token and position share a number: some 21 bytes a row
                     # when compressed.  44 bits of a token suffice: others that look alike only make candidates, and a
                     # position over 20 bits only skips less.
                     token = mix(np.concatenate([k[:p] for k, p in zip(sets, most.tolist())])) >> np.uint64(20)
                     packed = token << np.uint64(20) | np.minimum(pos, (1 << 20) - 1).astype(np.uint64)
-                    columns = [ids, np.repeat(size, most).astype(np.int32), packed.view(np.int64), np.concatenate(prev).astype(np.uint32).view(np.int32)]
+                    columns = [ids, np.repeat(size, most).astype(np.int32), packed.view(np.int64), np.concatenate(prev).view(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sid", "size", "packed", "prev"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,19 +345,27 @@ class Join:
                 yield from out(held)
 
         self.members = settle(named.select("doc_id", F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(name, "doc_id long, h binary, sid long, size int, signature binary").where("sid is not null").distinct())
-        lists = named.select("text").mapInArrow(index, "sid long, size int, packed long, prev int").repartition(F.shiftrightunsigned("packed", 20)).sortWithinPartitions("packed")
-        candidates = settle(self._near(settle(lists.mapInArrow(meet, "a long, b long").distinct()), s))
-        self.pairs = settle(self._verified(named, candidates, n, s, classes))
+        lists = named.select("text").mapInArrow(index, "sid long, size int, packed long, prev long").repartition(F.shiftrightunsigned("packed", 20)).sortWithinPartitions("packed")
+        met = settle(lists.mapInArrow(meet, "a long, b long").distinct())
+        grouped = settle(self._grouped(met))
+        free(met)
+        candidates = settle(self._near(grouped, s))
+        free(grouped)
+        self.pairs = settle(self._verified(named, candidates, n, s, classes, stars))
+        free(candidates)
+
+    def _grouped(self, candidates: DataFrame) -> DataFrame:
+        """(g, a, b): candidates with a neighbour, or themselves, as the group to meet in."""
+        ends = candidates.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(candidates.select(F.col("b").alias("x"), F.col("a").alias("y")))
+        lead = ends.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("g"))
+        return candidates.join(lead.withColumnRenamed("x", "a"), "a").select("g", "a", "b")
 
-    def _near(self, candidates: DataFrame, s: Sizes) -> DataFrame:
+    def _near(self, grouped: DataFrame, s: Sizes) -> DataFrame:
         """(g, a, b): candidates whose signatures allow the overlap, each with a set to lead its group.
 
         Signatures, a thirtieth of the sets' size, go once to each neighbourhood; so what is sent grows with
         the sets, not with their pairs.
         """
-        ends = candidates.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(candidates.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        lead = ends.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("g"))
-        grouped = settle(candidates.join(lead.withColumnRenamed("x", "a"), "a").select("g", "a", "b"))
         marks = self.members.groupBy("sid").agg(F.first("size").alias("size"), F.first("signature").alias("signature"))
         wants = grouped.select(F.col("g").alias("leader"), F.explode(F.array("a", "b")).alias("sid")).distinct()
 
@@ -374,7 +385,7 @@ class Join:
         marks = marks.join(wants, "sid").select("leader", "sid", "size", "signature")
         return grouped.groupBy("g").cogroup(marks.groupBy("leader")).applyInArrow(able, "g long, a long, b long")
 
-    def _verified(self, named: DataFrame, grouped: DataFrame, n: int, s: Sizes, classes) -> DataFrame:
+    def _verified(self, named: DataFrame, grouped: DataFrame, n: int, s: Sizes, classes, stars: bool) -> DataFrame:
         wants = grouped.select(F.col("g").alias("leader"), F.explode(F.array("g", "a", "b")).alias("sid")).distinct()
         one = self.members.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("first")).join(wants.select("sid").distinct(), "sid").select("sid", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
 
@@ -382,39 +393,31 @@ class Join:
             for batch in batches:
                 for at, run in chunks(batch.column(1).to_pylist()):
                     keys = ordered_sets(run, n, classes.value)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), batch.column(2).slice(at, len(run)), pa.array([k.tobytes() for k in keys], pa.binary())], ["sid", "doc_id", "keys"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array([k.tobytes() for k in keys], pa.binary())], ["sid", "keys"])
 
-        texts = named.join(one, "doc_id").where(F.unhex(F.md5("text")) == F.col("h")).select("sid", "text", "doc_id")
-        sets = texts.mapInArrow(rebuild, "sid long, doc_id long, keys binary").join(wants, "sid").select("leader", "sid", "doc_id", "keys")
+        texts = named.join(one, "doc_id").where(F.unhex(F.md5("text")) == F.col("h")).select("sid", "text")
+        sets = texts.mapInArrow(rebuild, "sid long, keys binary").join(wants, "sid").select("leader", "sid", "keys")
 
         def check(pairs: pa.Table, rows: pa.Table) -> pa.Table:
             held = {i: np.frombuffer(k, np.uint64) for i, k in zip(rows["sid"].to_pylist(), rows["keys"].to_pylist())}
             a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
             overlap = verify(held[pairs["g"][0].as_py()], held, a, b) if len(a) else np.zeros(0, np.int64)
-            sid, at = np.unique(rows["sid"].to_numpy(), return_index=True)
-            size, doc = np.array([len(held[x]) for x in sid.tolist()], np.int64), rows["doc_id"].to_numpy()[at]
+            sid = np.unique(rows["sid"].to_numpy())
+            size = np.array([len(held[x]) for x in sid.tolist()], np.int64)
             ia, ib = np.searchsorted(sid, a), np.searchsorted(sid, b)
             ok = np.flatnonzero(overlap >= s.overlap(size[ia], size[ib]))
             a, b, ia, ib, overlap = (x[ok] for x in (a, b, ia, ib, overlap))
-            return pa.table({"a": a, "b": b, "doc_a": doc[ia], "doc_b": doc[ib], "jaccard": overlap / (size[ia] + size[ib] - overlap)})
-
-        return grouped.groupBy("g").cogroup(sets.groupBy("leader")).applyInArrow(check, "a long, b long, doc_a long, doc_b long, jaccard double")
+            if stars:
+                root = _leaders(a, b)
+                x, at = np.unique(np.concatenate([a, b]), return_index=True)
+                root = np.concatenate([root, root])[at]
+                a, b = root[x != root], x[x != root]
+                return pa.table({"a": a, "b": b, "jaccard": pa.nulls(len(a), pa.float64())})
+            return pa.table({"a": a, "b": b, "jaccard": overlap / (size[ia] + size[ib] - overlap)})
 
-    def firsts(self) -> DataFrame:
-        return self.members.groupBy("sid").agg(F.min("doc_id").alias("first"))
+        return grouped.groupBy("g").cogroup(sets.groupBy("leader")).applyInArrow(check, "a long, b long, jaccard double")
 
     def similar(self) -> DataFrame:
-        """(doc_a, doc_b, jaccard), doc_a < doc_b.
-
-        Documents of equal sets are answered once: each later one has a row with the first (1.0),
-        and only the first one has rows with documents of other sets; theirs hold for all of it.
-        """
-        first = self.firsts()
-        copies = self.members.select("sid", "doc_id").distinct().join(first, "sid").where("doc_id > first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-        named = self.pairs.where("doc_a <> doc_b")
-        return named.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), F.round("jaccard", 6).alias("jaccard")).unionByName(copies)
-
-    def every(self) -> DataFrame:
         """(doc_a, doc_b, jaccard), doc_a < doc_b: a row for each two documents' sets that reach the threshold, copies included.
 
         Pairs stay named by set until the members of both sides are joined in, so the rows of a
@@ -478,7 +481,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = N, threshold: str | float = THRESHOLD) -> DataFrame:
     """The documents less all but the first (by doc_id) of each group that similar pairs connect; columns as given."""
-    j = Join(docs, n, threshold)
+    j = Join(docs, n, threshold, stars=True)
     groups = j.members.join(components(j.pairs).withColumnRenamed("x", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     ranked = groups.select("doc_id", "h", F.row_number().over(Window.partitionBy("root").orderBy("doc_id", "h")).alias("nth"))
     gone = settle(ranked.where("nth > 1").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")))
@@ -492,24 +495,8 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: str | float = THRE
     return Join(docs, n, threshold).similar()
 
 
-def every_similar_pair(docs: DataFrame, n: int = N, threshold: str | float = THRESHOLD) -> DataFrame:
-    return Join(docs, n, threshold).every()
-
-
 def oracle(n: int = N, threshold: str = THRESHOLD) -> str:
-    """DuckDB SQL for :func:`similar_documents`, by counting common n-grams of all pairs."""
-    return f"""
-    WITH t AS (SELECT doc_id, {SQL_WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND len(w) > 0),
-    s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END)) AS g FROM t),
-    f AS (SELECT min(doc_id) AS doc_id, g, len(g) AS size FROM s GROUP BY g),
-    e AS (SELECT doc_id, size, unnest(g) AS g FROM f),
-    p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, any_value(a.size) AS size_a, any_value(b.size) AS size_b, count(*) AS o FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-    SELECT doc_a, doc_b, round(o / (size_a + size_b - o), 6) AS jaccard FROM p WHERE o >= {threshold}::DECIMAL(9, 6) * (size_a + size_b - o)
-    UNION ALL SELECT f.doc_id, s.doc_id, 1.0 FROM s JOIN f USING (g) WHERE s.doc_id > f.doc_id"""
-
-
-def every_oracle(n: int = N, threshold: str = THRESHOLD) -> str:
-    """DuckDB SQL for :func:`every_similar_pair`, by counting common n-grams of all pairs of documents."""
+    """DuckDB SQL for :func:`similar_documents`, by counting common n-grams of all pairs of documents."""
     return f"""
     WITH t AS (SELECT doc_id, {SQL_WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND len(w) > 0),
     s AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END)) AS g FROM t),

@@ -24,10 +24,6 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
-def op3_every_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.every_similar_pair(table(spark, sf_dir, "documents"))
-
-
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.shards(table(spark, sf_dir, "documents"))
 
@@ -61,6 +57,6 @@ QUERIES = {f.__name__: f for f in (op1_bottom_k, op2_warc_derivatives, op3_ngram
 ORACLES = {"op1_bottom_k": sketch.oracle(), "op2_warc_derivatives": warc.oracle(), "op3_ngram_jaccard": jaccard.oracle(), "op7_suffix_dedup": lpf.oracle(), "op8_mixture": mixing.oracle()}
 
 #: The whole results of which the SQL of a query above asks for a part.
-WHOLE = {f.__name__: f for f in (op1_part_pairs, op3_every_pair)}
+WHOLE = {f.__name__: f for f in (op1_part_pairs,)}
 
-WHOLE_ORACLES = {"op1_part_pairs": sketch.part_oracle(), "op3_every_pair": jaccard.every_oracle()}
+WHOLE_ORACLES = {"op1_part_pairs": sketch.part_oracle()}

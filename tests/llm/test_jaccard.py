@@ -23,26 +23,6 @@ def brute(rows, n, t):
     return {(a, b): len(x & y) / len(x | y) for a, x in every for b, y in every if a < b and len(x & y) >= Fraction(t) * len(x | y)}
 
 
-def expand(pairs, rows, n):
-    """All pairs that the rows with first documents stand for."""
-    every = [(i, frozenset(s)) for i, ss in sets_of(rows, n).items() for s in ss]
-    first = {}
-    for i, s in every:
-        first[s] = min(i, first.get(s, i))
-    member = {}
-    for i, s in every:
-        member.setdefault(first[s], set()).add(i)
-    out = {}
-    for (a, b), j in pairs.items():
-        for x in member.get(a, {a}) if j < 1 else {a}:
-            for y in member.get(b, {b}) if j < 1 else {b}:
-                if x != y:
-                    out[min(x, y), max(x, y)] = j
-    for ids in member.values():
-        out |= {(x, y): 1.0 for x in ids for y in ids if x < y}
-    return out
-
-
 @pytest.mark.parametrize("n,t", [(1, "0.5"), (2, "0.7"), (3, "1"), (1, "0.05")])
 def test_against_brute_force(spark, n, t):
     random.seed(n)
@@ -56,13 +36,13 @@ def test_against_brute_force(spark, n, t):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.similar_documents(d, n, t).collect()}
     want = brute(rows, n, t)
-    assert expand(got, rows, n).keys() == want.keys()
+    assert got.keys() == want.keys()
     assert all(abs(got[p] - want[p]) < 1e-6 for p in got)
 
 
 def test_hostile_rows(hostile):
     got = {(r["doc_a"], r["doc_b"]) for r in jaccard.similar_documents(hostile, 3, "0.6").collect()}
-    assert got == {(5, 6), (5, 7), (10, 11)}  # of 7's two texts one resembles 5's
+    assert got == {(5, 6), (5, 7), (6, 7), (10, 11)}  # of 7's two texts one resembles 5's
 
 
 def test_keep_one(hostile):
@@ -82,13 +62,13 @@ def test_empty_table(empty):
 def test_candidates_lose_no_pair():
     rng = np.random.default_rng(3)
     s = jaccard.Sizes("0.5")
-    sets = [np.unique(rng.integers(1, 60, rng.integers(1, 30)).astype(np.uint64)) for _ in range(120)]
-    entries = [(int(k), int(p), i, len(x), j) for i, x in enumerate(sets) for j, (k, p) in enumerate(zip(x[: s.prefix(len(x))], [0, *(x | np.uint64(1)).tolist()]))]
+    sets = [np.unique(rng.integers(1, 14, rng.integers(1, 20)).astype(np.uint64)) for _ in range(120)]
+    entries = [(int(k), int(p), i, len(x), j) for i, x in enumerate(sets) for j, (k, p) in enumerate(zip(x[: s.prefix(len(x))], [0, *(x << np.uint64(1) | np.uint64(1)).tolist()]))]
     columns = [np.array(c, np.int64) for c in zip(*entries)]
     found = {(a, b) for x, y in jaccard.pairs_of_lists(*columns, s) for a, b in zip(x.tolist(), y.tolist())}
     want = {(a, b) for a in range(120) for b in range(a + 1, 120) if 2 * len(np.intersect1d(sets[a], sets[b])) >= len(np.union1d(sets[a], sets[b]))}
-    # An odd and an even key may look alike as predecessors here, as production keys of 64 bits don't.
-    assert len(want - found) <= len(want) * 0.05
+    same = {(a, b) for a, b in want if np.array_equal(sets[a], sets[b])}  # equal sets have equal ids in production
+    assert len(want - same) > 500 and not want - found
 
 
 def test_overlaps_from_differences():
@@ -124,7 +104,7 @@ def test_every_pair_against_brute_force(spark, hostile):
     texts = [" ".join(base), " ".join(base), " ".join(base), " ".join([*base[:28], "x", "y"]), " ".join([*base[:28], "x", "y"]), "one of its own"]
     rows = [(9 - i, t) for i, t in enumerate(texts)] + [(9, texts[3])]  # copies of lower ids; 9 has a near copy of its own
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r["doc_a"], r["doc_b"]) for r in jaccard.every_similar_pair(d).collect()]
+    got = [(r["doc_a"], r["doc_b"]) for r in jaccard.similar_documents(d).collect()]
     assert set(got) == set(brute(rows, 2, "0.6")) == {(a, b) for a in range(5, 10) for b in range(a + 1, 10)}
-    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.every_similar_pair(hostile, 3, "0.6").collect()}
+    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.similar_documents(hostile, 3, "0.6").collect()}
     assert got == {(5, 6), (5, 7), (6, 7), (10, 11)}
