@@ -1,11 +1,14 @@
 """Sharding by a k-d tree over metadata.
 
-Documents are points in four dimensions of bounded range: language, source, length (sixteenths of
-octaves) and a hash of doc_id (1024 values).  They are summed into cells first, by bytes.  Then each
-level is one distributed pass over the cells: for each node still over ``target_bytes`` and each
-dimension the byte histogram's running sum gives the range and the weighted median; the node is
-split at the median of its widest dimension (range over the whole table's range; ties go to the
-first named).  Assigning a document walks the tree, so documents' texts are never shuffled.
+Documents are points in four dimensions: language, source, length (logarithm, in 65536ths of an
+octave) and a 63-bit hash of doc_id, each weighing its bytes.  A node over ``target_bytes`` is split
+at the weighted median of its widest dimension (range over the whole table's range; ties go to the
+first named).  Equal points are summed first.  While nodes hold more than ``held`` points, a level
+is one distributed pass over the points: for each such node and each dimension the running sum of
+bytes gives range and weighted median; length and hash are taken in their highest bits there, as a
+node of that size has many.  Smaller nodes go whole to a task each, which builds the subtree below.
+Assigning a document walks the tree (a few dozen bytes a leaf, as arrays), so documents' texts are
+never shuffled.
 
 Defined cases: a null language or source is the empty string's; a null length is measured on the
 text; a null text weighs 0 bytes; a null doc_id hashes like any value; rows that agree in all four
@@ -15,6 +18,7 @@ table below the target is shard 0; an empty one gives no rows; all columns are r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,50 +26,97 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import free, settle
 
 TARGET_BYTES = 64 << 20
+HELD = 1_000_000
 DIMENSIONS = ("lang", "source", "length", "hash")
+#: Bits of length and hash that distributed levels leave out.
+COARSE = (0, 0, 12, 43)
 
 
 @dataclass
 class Tree:
     """Node i is a leaf if dim[i] < 0; else x[dim] <= cut goes left."""
 
-    dim: list[int]
-    cut: list[int]
-    left: list[int]
-    right: list[int]
+    dim: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
 
     def descend(self, x: np.ndarray) -> np.ndarray:
-        dim, cut, left, right = (np.array(a, np.int64) for a in (self.dim, self.cut, self.left, self.right))
-        node = np.zeros(len(x), np.int64)
+        node = np.zeros(len(x), np.int32)
         rows = np.arange(len(x))
-        while len(rows := rows[dim[node[rows]] >= 0]):
+        while len(rows := rows[self.dim[node[rows]] >= 0]):
             at = node[rows]
-            node[rows] = np.where(x[rows, dim[at]] <= cut[at], left[at], right[at])
+            node[rows] = np.where(x[rows, self.dim[at]] <= self.cut[at], self.left[at], self.right[at])
         return node
 
     def shards(self) -> np.ndarray:
         """Node to shard number: leaves counted from the left."""
-        out, stack, n = np.full(len(self.dim), -1), [0], 0
+        out, stack, n = np.full(len(self.dim), -1, np.int32), [0], 0
         while stack:
             i = stack.pop()
             if self.dim[i] < 0:
                 out[i], n = n, n + 1
             else:
-                stack += [self.right[i], self.left[i]]
+                stack += [int(self.right[i]), int(self.left[i])]
         return out
 
 
+class Growing:
+    """A tree that grows: rows (dim, cut, left, right)."""
+
+    def __init__(self):
+        self.rows = [(-1, 0, -1, -1)]
+
+    def split(self, node: int, dim: int, cut: int) -> tuple[int, int]:
+        left = len(self.rows)
+        self.rows[node] = (dim, cut, left, left + 1)
+        self.rows += [(-1, 0, -1, -1)] * 2
+        return left, left + 1
+
+    def graft(self, node: int, rows: list[tuple]) -> None:
+        """Put a subtree, by rows, in the place of a leaf."""
+        to = [node, *range(len(self.rows), len(self.rows) + len(rows) - 1)]
+        self.rows += [None] * (len(rows) - 1)
+        for i, (d, c, a, b) in zip(to, rows):
+            self.rows[i] = (d, c, to[a] if d >= 0 else -1, to[b] if d >= 0 else -1)
+
+    def tree(self) -> Tree:
+        d, c, a, b = zip(*self.rows)
+        return Tree(np.array(d, np.int8), np.array(c, np.int64), np.array(a, np.int32), np.array(b, np.int32))
+
+
+def subtree(x: np.ndarray, w: np.ndarray, whole: np.ndarray, target: int) -> list[tuple]:
+    """Rows of the tree over points x [n, 4] of weights w; ``whole`` are the table's ranges."""
+    grown, stack = Growing(), [(0, np.arange(len(x)))]
+    while stack:
+        node, at = stack.pop()
+        total = int(w[at].sum())
+        low, high = x[at].min(0), x[at].max(0)
+        if total <= target or (low == high).all():
+            continue
+        d = int(np.argmax((high - low) / whole))
+        order = np.argsort(x[at, d], kind="stable")
+        v = x[at[order], d]
+        cut = v[np.searchsorted(np.cumsum(w[at[order]]) * 2, total)]
+        if cut == v[-1]:
+            cut = v[np.searchsorted(v, cut) - 1]
+        left, right = grown.split(node, d, int(cut))
+        under = x[at, d] <= cut
+        stack += [(left, at[under]), (right, at[~under])]
+    return grown.rows
+
+
 def _points(docs: DataFrame, *also: Column) -> DataFrame:
     text = F.col("text").cast("string")
     n = F.coalesce(F.col("n_chars").cast("long"), F.length(text).cast("long"), F.lit(0).cast("long"))
     return docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.floor(F.log2(F.greatest(n, F.lit(0)) + 1.0) * 16).cast("int").alias("length"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1024)).cast("int").alias("hash"),
+        F.floor(F.log2(F.greatest(n, F.lit(0)) + 1.0) * 65536).cast("long").alias("length"),
+        F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 1).alias("hash"),
         F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long")).alias("bytes"),
         *also,
     )
@@ -79,36 +130,36 @@ def _codes(cells: DataFrame, name: str) -> DataFrame:
 class KdSharding:
     """The tree over a table of documents; ``shard`` assigns."""
 
-    def __init__(self, docs: DataFrame, target_bytes: int = TARGET_BYTES):
+    def __init__(self, docs: DataFrame, target_bytes: int = TARGET_BYTES, held: int = HELD):
         if target_bytes < 1:
             raise ValueError("target_bytes must be 1 at least")
+        spark = docs.sparkSession
         cells = settle(_points(docs).groupBy(*DIMENSIONS).agg(F.sum("bytes").alias("bytes")))
         self.codes = {d: _codes(cells, d) for d in ("lang", "source")}
         coded = settle(self._coded(cells).select(*(f"x{i}" for i in range(4)), "bytes"))
-        tree = Tree([-1], [0], [-1], [-1])
-        frontier = [0]
-        whole = None
-        while frontier:
-            stats = _level(coded, tree, frontier)
-            if whole is None:
-                whole = {r["d"]: max(1, r["hi"] - r["lo"]) for r in stats}
-            by: dict[int, list] = {}
-            for r in stats:
-                by.setdefault(r["node"], []).append(r)
-            frontier = []
-            for node, dims in sorted(by.items()):
-                if dims[0]["total"] <= target_bytes:
-                    continue
-                best = max(dims, key=lambda r: ((r["hi"] - r["lo"]) / whole[r["d"]], -r["d"]))
-                if best["hi"] == best["lo"]:
-                    continue
-                tree.dim[node], tree.cut[node] = best["d"], best["median"] if best["median"] < best["hi"] else best["under"]
-                for side in (tree.left, tree.right):
-                    side[node] = len(tree.dim)
-                    frontier.append(len(tree.dim))
-                    for a, v in ((tree.dim, -1), (tree.cut, 0), (tree.left, -1), (tree.right, -1)):
-                        a.append(v)
-        self.tree = tree
+        free(cells)
+        span = coded.agg(F.count("*").alias("n"), *(F.min(f"x{i}").alias(f"l{i}") for i in range(4)), *(F.max(f"x{i}").alias(f"h{i}") for i in range(4))).first()
+        grown = Growing()
+        if span["n"]:
+            whole = np.array([max(1, span[f"h{i}"] - span[f"l{i}"]) for i in range(4)], float)
+            large, small = ([0], []) if span["n"] > held else ([], [0])
+            while large:
+                by: dict[int, list] = {}
+                for r in _level(coded, grown.tree(), large):
+                    by.setdefault(r["node"], []).append(r)
+                large = []
+                for node, dims in sorted(by.items()):
+                    if dims[0]["total"] <= target_bytes:
+                        continue
+                    if dims[0]["n"] <= held or all(r["first"] == r["last"] for r in dims):
+                        small.append(node)
+                    else:
+                        best = max((r for r in dims if r["first"] < r["last"]), key=lambda r: ((r["hi"] - r["lo"]) / whole[r["d"]], -r["d"]))
+                        bucket = best["median"] if best["median"] < best["last"] else best["under"]
+                        large += grown.split(node, best["d"], (bucket + 1 << COARSE[best["d"]]) - 1)
+            for node, rows in _subtrees(coded, grown.tree(), small, whole, target_bytes) if small else ():
+                grown.graft(node, rows)
+        self.tree = grown.tree()
 
     def _coded(self, points: DataFrame) -> DataFrame:
         for d in ("lang", "source"):  # settled tables: Spark broadcasts them if their size allows
@@ -117,7 +168,7 @@ class KdSharding:
 
     def shard(self, docs: DataFrame) -> DataFrame:
         """(row, shard, bytes): the rows as structs with their shard."""
-        sent = docs.sparkSession.sparkContext.broadcast((self.tree, self.tree.shards()))
+        sent = docs.sparkSession.sparkContext.broadcast((self.tree, self.tree.shards()))  # 21 bytes a node: 70 MB for 100 TB in leaves of 64 MB
 
         @F.arrow_udf("int")
         def leaf(*x: pa.Array) -> pa.Array:
@@ -128,23 +179,57 @@ class KdSharding:
         return p.select("row", leaf("x0", "x1", "x2", "x3").alias("shard"), "bytes")
 
 
-def _level(cells: DataFrame, tree: Tree, frontier: list[int]) -> list:
-    """For each frontier node and dimension: range, weighted median, greatest value under the maximum, bytes."""
-    sent = cells.sparkSession.sparkContext.broadcast((tree, np.isin(np.arange(len(tree.dim)), frontier)))
+def _placed(cells: DataFrame, tree: Tree, nodes: list[int], also: str, columns):
+    """Rows of the points in these nodes, as ``columns`` makes them of nodes, points and weights."""
+    live = np.zeros(len(tree.dim), bool)
+    live[nodes] = True
+    sent = cells.sparkSession.sparkContext.broadcast((tree, live))
 
-    def place(batches):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, live = sent.value
         for b in batches:
             x = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)
             node = tree.descend(x)
             keep = live[node]
-            n, w, x, node = int(keep.sum()), b.column(4).to_numpy()[keep], x[keep], node[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(node, 4)), pa.array(np.repeat(np.arange(4, dtype=np.int32), n)), pa.array(x.T.reshape(-1)), pa.array(np.tile(w, 4))], ["node", "d", "v", "w"])
+            yield pa.RecordBatch.from_pydict(columns(node[keep].astype(np.int64), x[keep], b.column(4).to_numpy()[keep]))
+
+    return cells.mapInArrow(place, also)
+
+
+def _level(cells: DataFrame, tree: Tree, nodes: list[int]) -> list:
+    """For each node and dimension: range, bytes, points, and of the dimension's highest bits the first, last, median and last but one."""
 
-    hist = cells.mapInArrow(place, "node long, d int, v long, w long").groupBy("node", "d", "v").agg(F.sum("w").alias("w"))
+    def columns(node: np.ndarray, x: np.ndarray, w: np.ndarray) -> dict:
+        n = len(node)
+        return {"node": np.tile(node, 4), "d": np.repeat(np.arange(4, dtype=np.int32), n), "x": x.T.reshape(-1), "w": np.tile(w, 4)}
+
+    placed = _placed(cells, tree, nodes, "node long, d int, x long, w long", columns)
+    bits = F.element_at(F.array(*map(F.lit, COARSE)), F.col("d") + 1)
+    hist = placed.groupBy("node", "d", F.call_function("shiftright", "x", bits).alias("v")).agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     by = Window.partitionBy("node", "d")
-    run = hist.select("*", F.sum("w").over(by.orderBy("v")).alias("upto"), F.sum("w").over(by).alias("total"), F.max("v").over(by).alias("hi"))
-    return run.groupBy("node", "d").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("total").alias("total"), F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("v"))).alias("median"), F.max(F.when(F.col("v") < F.col("hi"), F.col("v"))).alias("under")).collect()  # 4 rows a node of this level
+    run = hist.select("*", F.sum("w").over(by.orderBy("v")).alias("upto"), F.sum("w").over(by).alias("total"), F.max("v").over(by).alias("last"))
+    median, under = F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("v"))), F.max(F.when(F.col("v") < F.col("last"), F.col("v")))
+    return run.groupBy("node", "d").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("v").alias("first"), F.max("v").alias("last"), F.max("total").alias("total"), median.alias("median"), under.alias("under")).collect()  # 4 rows a node of over ``held`` points
+
+
+def _subtrees(cells: DataFrame, tree: Tree, nodes: list[int], whole: np.ndarray, target: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(node, rows of the tree below), each built by one task."""
+    placed = _placed(cells, tree, nodes, "node long, x0 long, x1 long, x2 long, x3 long, w long", lambda node, x, w: {"node": node, **{f"x{i}": x[:, i] for i in range(4)}, "w": w})
+
+    def build(t: pa.Table) -> pa.Table:
+        x = np.stack([t[f"x{i}"].to_numpy() for i in range(4)], 1)
+        rows = list(zip(*subtree(x, t["w"].to_numpy(), whole, target)))
+        return pa.table({"node": pa.array(np.full(len(rows[0]), t["node"][0].as_py())), "i": pa.array(np.arange(len(rows[0]))), **{k: pa.array(v, pa.int64()) for k, v in zip(("dim", "cut", "lft", "rgt"), rows)}})
+
+    t = placed.groupBy("node").applyInArrow(build, "node long, i long, dim long, cut long, lft long, rgt long").toArrow().sort_by([("node", "ascending"), ("i", "ascending")])
+    columns = [c.to_pylist() for c in t.columns]
+    a = 0
+    while a < t.num_rows:
+        b = a + 1
+        while b < t.num_rows and columns[0][b] == columns[0][a]:
+            b += 1
+        yield columns[0][a], list(zip(*(c[a:b] for c in columns[2:])))
+        a = b
 
 
 def shard_documents(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
@@ -153,6 +238,6 @@ def shard_documents(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFr
     return KdSharding(docs, target_bytes).shard(docs).select("row.*", F.col("shard").alias(name))
 
 
-def shards(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
+def shards(docs: DataFrame, target_bytes: int = TARGET_BYTES, held: int = HELD) -> DataFrame:
     """(doc_id, shard, bytes) for each row of documents."""
-    return KdSharding(docs, target_bytes).shard(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), "shard", "bytes")
+    return KdSharding(docs, target_bytes, held).shard(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), "shard", "bytes")

@@ -1,48 +1,66 @@
+import math
 from collections import Counter
 
+import xxhash
+
 from docquery.llm import kdtree
 
 
-def brute(points, target):
-    """Leaves as lists of point indexes, from the left; points are (coordinates, weight)."""
-    whole = [max(1, max(p[0][d] for p in points) - min(p[0][d] for p in points)) for d in range(4)]
+def points_of(docs):
+    """(doc_id, coordinates, bytes) of each row, from what the docstring says."""
+    rows = [r.asDict() for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    langs, sources = (sorted({r[c] or "" for r in rows}, key=str.encode) for c in ("lang", "source"))
+    out = []
+    for r in rows:
+        n = r["n_chars"] if r["n_chars"] is not None else len(r["text"] or "")
+        h = 42 if r["doc_id"] is None else xxhash.xxh64_intdigest(r["doc_id"].to_bytes(8, "little", signed=True), 42)
+        out.append((r["doc_id"], (langs.index(r["lang"] or ""), sources.index(r["source"] or ""), math.floor(math.log2(max(n, 0) + 1) * 65536), h >> 1), len((r["text"] or "").encode())))
+    return out
+
+
+def brute(points, target, held):
+    """Leaves as lists of point indexes, from the left."""
+    whole = [max(1, max(p[1][d] for p in points) - min(p[1][d] for p in points)) for d in range(4)]
 
     def split(rows):
-        total = sum(points[i][1] for i in rows)
-        spread = [max(points[i][0][d] for i in rows) - min(points[i][0][d] for i in rows) for d in range(4)]
-        d = max(range(4), key=lambda d: (spread[d] / whole[d], -d))
-        if total <= target or not spread[d]:
+        total = sum(points[i][2] for i in rows)
+        coarse = len({points[i][1] for i in rows}) > held
+        value = lambda i, d: points[i][1][d] >> (kdtree.COARSE[d] if coarse else 0)
+        if coarse and all(len({value(i, d) for i in rows}) == 1 for d in range(4)):
+            value = lambda i, d: points[i][1][d]
+        able = [d for d in range(4) if len({value(i, d) for i in rows}) > 1]
+        if total <= target or not able:
             return [rows]
+        spread = [max(points[i][1][d] for i in rows) - min(points[i][1][d] for i in rows) for d in range(4)]
+        d = max(able, key=lambda d: (spread[d] / whole[d], -d))
         at, run = None, 0
-        values = sorted({points[i][0][d] for i in rows})
+        values = sorted({value(i, d) for i in rows})
         for v in values:
-            run += sum(points[i][1] for i in rows if points[i][0][d] == v)
+            run += sum(points[i][2] for i in rows if value(i, d) == v)
             if run * 2 >= total:
                 at = v
                 break
         if at == values[-1]:
             at = values[-2]
-        return split([i for i in rows if points[i][0][d] <= at]) + split([i for i in rows if points[i][0][d] > at])
+        return split([i for i in rows if value(i, d) <= at]) + split([i for i in rows if value(i, d) > at])
 
     return split(list(range(len(points))))
 
 
-def check(docs, target):
-    s = kdtree.KdSharding(docs, target)
-    rows = s._coded(kdtree._points(docs)).collect()
-    points = [((r["x0"], r["x1"], r["x2"], r["x3"]), r["bytes"]) for r in rows]
-    of = {i: n for n, leaf in enumerate(brute(points, target)) for i in leaf}
-    want = Counter((points[i], of[i]) for i in of)
-    tree, shards = s.tree, s.tree.shards()
-    got = Counter((p, int(shards[tree.descend(kdtree.np.array([p[0]]))[0]])) for p in points)
-    assert got == want
-    return of
+def check(docs, target, held=kdtree.HELD):
+    points = points_of(docs)
+    leaves = brute(points, target, held)
+    want = Counter((points[i][0], n, points[i][2]) for n, leaf in enumerate(leaves) for i in leaf)
+    sharded = kdtree.KdSharding(docs, target, held).shard(docs)
+    assert Counter((r["row"]["doc_id"], r["shard"], r["bytes"]) for r in sharded.collect()) == want
+    return leaves
 
 
 def test_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    of = check(docs, 20_000)
-    assert len(set(of.values())) > 10
+    assert len(check(docs, 20_000)) > 10
+    for held in (60,):  # distributed levels first
+        assert len(check(docs, 20_000, held)) > 10
     got = kdtree.shards(docs, 20_000).collect()
     sizes = Counter()
     for r in got:
@@ -51,8 +69,17 @@ def test_against_brute_force(spark, sf):
     assert max(sizes.values()) <= max(20_000, max(r["bytes"] for r in got))
 
 
+def test_one_homogeneous_source(spark):
+    """3000 documents that differ in nothing but doc_id make leaves of at most the target, over 100 of them."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', 100) AS text", "'en' AS lang", "'src' AS source", "100L AS n_chars")
+    for held in (kdtree.HELD, 500):
+        sizes = [r["n"] for r in kdtree.shards(docs, 2500, held).groupBy("shard").agg(kdtree.F.sum("bytes").alias("n")).collect()]
+        assert len(sizes) >= 120 and max(sizes) <= 2500
+
+
 def test_hostile_rows(hostile, empty):
     check(hostile, 100)
+    check(hostile, 100, 3)
     out = kdtree.shard_documents(hostile, 100)
     assert out.columns == [*hostile.columns, "kd_shard"] and out.count() == hostile.count()
     same = {r["kd_shard"] for r in out.where("doc_id = 5").collect()}
