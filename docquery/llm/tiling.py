@@ -9,8 +9,8 @@ item if tiles cover ``threshold`` of the item's words.  Words are compared by 64
 Seeds are broadcast in slices of at most ``slice_seeds``; documents pass all slices in one scan, so
 there is no shuffle and no limit to the benchmark's size.
 
-Defined cases: a null or wordless text meets nothing; items with fewer than ``least`` words, or null
-ones, are never matched; repeated items are matched each under its own id, and with a null id under
+Defined cases: a null or wordless text meets nothing; null or wordless items are never matched, and
+items with fewer than ``least`` words only as a whole; repeated items are matched each under its own id, and with a null id under
 null; matches of equal length are marked in order of position in the item, then in the document;
 repeated rows are treated alike; columns of documents are returned as they are.
 """
@@ -18,7 +18,6 @@ repeated rows are treated alike; columns of documents are returned as they are.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -58,20 +57,7 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = LEAST) -> list[tuple[in
             hi = hi * powers(GRAM, len(doc))[len(doc) - len(item)]
         elif len(doc) < len(item):
             hd = hd * powers(GRAM, len(item))[len(item) - len(doc)]
-        order = np.argsort(hi, kind="stable")
-        hi, at_i = hi[order], at_i[order]
-        low, high = np.searchsorted(hi, hd), np.searchsorted(hi, hd, "right")
-        heap = []
-        for k in np.flatnonzero(high > low).tolist():
-            d = int(at_d[k])
-            for i in at_i[low[k] : high[k]].tolist():
-                before = i > 0 and d > 0 and free_i[i - 1] and free_d[d - 1] and item[i - 1] == doc[d - 1]
-                if before or not np.array_equal(item[i : i + n], doc[d : d + n]):
-                    continue  # not the match's beginning, or no match
-                end = n
-                while i + end < len(item) and d + end < len(doc) and free_i[i + end] and free_d[d + end] and item[i + end] == doc[d + end]:
-                    end += 1
-                heap.append((-end, i, d))
+        heap = [(-size, i, d) for i, d, size in zip(*_matches(item, doc, free_i, free_d, n, hi, at_i, hd, at_d))]
         heapq.heapify(heap)
         while heap:
             size, i, d = heapq.heappop(heap)
@@ -88,33 +74,84 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = LEAST) -> list[tuple[in
     return tiles
 
 
+def _matches(item: np.ndarray, doc: np.ndarray, free_i: np.ndarray, free_d: np.ndarray, n: int, hi: np.ndarray, at_i: np.ndarray, hd: np.ndarray, at_d: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(item positions, doc positions, lengths) of the matches of free words of n or more that can't be extended to the left.
+
+    Windows of equal hash are paired by the words before them, so that of a repeated word only the
+    pairs at the beginning of either run are looked at, not each with each.
+    """
+    kinds, kind_i = np.unique(hi, return_inverse=True)
+    kind_d = np.minimum(np.searchsorted(kinds, hd), max(len(kinds) - 1, 0))
+    met = kinds[kind_d] == hd if len(kinds) else np.zeros(len(hd), bool)
+    at_d, kind_d = at_d[met], kind_d[met]
+    order_i, order_d = np.argsort(kind_i, kind="stable"), np.argsort(kind_d, kind="stable")
+    at_i, kind_i, at_d, kind_d = at_i[order_i], kind_i[order_i], at_d[order_d], kind_d[order_d]
+
+    def before(words: np.ndarray, free: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = np.maximum(at - 1, 0)
+        return (at > 0) & free[p], words[p]
+
+    has_i, last_i = before(item, free_i, at_i)
+    has_d, last_d = before(doc, free_d, at_d)
+    n_i, n_d = np.bincount(kind_i, minlength=len(kinds)), np.bincount(kind_d, minlength=len(kinds))
+    once = np.flatnonzero((n_i == 1) & (n_d == 1))
+    x, y = np.searchsorted(kind_i, once), np.searchsorted(kind_d, once)
+    begins = ~(has_i[x] & has_d[y] & (last_i[x] == last_d[y]))
+    starts, ends = [at_i[x[begins]]], [at_d[y[begins]]]
+    for k in np.flatnonzero((n_i * n_d > 1)).tolist():
+        a, b = np.searchsorted(kind_i, k), np.searchsorted(kind_i, k, "right")
+        c, e = np.searchsorted(kind_d, k), np.searchsorted(kind_d, k, "right")
+        groups = [(at_i[a:b][~has_i[a:b]], np.ones(e - c, bool))]
+        for word in np.unique(last_i[a:b][has_i[a:b]]):
+            groups.append((at_i[a:b][has_i[a:b] & (last_i[a:b] == word)], ~has_d[c:e] | (last_d[c:e] != word)))
+        for own, other in groups:
+            other = at_d[c:e][other]
+            starts.append(np.repeat(own, len(other)))
+            ends.append(np.tile(other, len(own)))
+    i, d = np.concatenate(starts), np.concatenate(ends)
+    size, live, t = np.zeros(len(i), np.int64), np.arange(len(i)), 0
+    while len(live):
+        live = live[(i[live] + t < len(item)) & (d[live] + t < len(doc))]
+        p, q = i[live] + t, d[live] + t
+        live = live[free_i[p] & free_d[q] & (item[p] == doc[q])]
+        t += 1
+        size[live] = t
+    long = size >= n
+    return i[long].tolist(), d[long].tolist(), size[long].tolist()
+
+
 class Benchmark:
-    """Items' words and an index of their seeds."""
+    """Items' words and, by length, an index of their seeds: all grams of ``least`` words, or a shorter item as a whole."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None], least: int = LEAST):
         w = Words([t or "" for t in texts])
         self.least, self.ids = least, []
         self.words: list[np.ndarray] = []
-        seeds, item, place = [], [], []
+        grams: dict[int, list] = {}
         for i, (a, b) in enumerate(zip(w.ptr[:-1].tolist(), w.ptr[1:].tolist())):
-            if b - a >= least:
-                g = Words.grams_of(w.hash[a:b], least)
-                seeds.append(g)
-                item.append(np.full(len(g), len(self.ids)))
-                place.append(np.arange(len(g)))
+            if b > a:
+                n = min(least, b - a)
+                g = Words.grams_of(w.hash[a:b], n)
+                grams.setdefault(n, []).append((g, np.full(len(g), len(self.ids)), np.arange(len(g))))
                 self.ids.append(ids[i])
                 self.words.append(w.hash[a:b].copy())
-        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seeds, item, place)]
-        order = np.argsort(joined[0], kind="stable")
-        self.seed, self.item, self.place = (x[order] for x in joined)
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[(self.seed.astype(np.uint64) >> np.uint64(48)).astype(np.int64)] = True
+        self.index = {}
+        for n, found in sorted(grams.items()):
+            seed, item, place = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(seed, kind="stable")
+            self.index[n] = self._indexed(seed[order], item[order], place[order])
+
+    @staticmethod
+    def _indexed(seed: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple:
+        some = np.zeros(1 << 16, bool)
+        some[(seed >> np.uint64(48)).astype(np.int64)] = True
+        return seed, item, place, some
 
     def slices(self, most: int) -> list["Benchmark"]:
         """Benchmarks of whole items with at most ``most`` seeds each, or one item."""
         out, run, size = [], [], 0
         for i, w in enumerate(self.words):
-            n = len(w) - self.least + 1
+            n = max(1, len(w) - self.least + 1)
             if run and size + n > most:
                 out.append(self._only(run))
                 run, size = [], 0
@@ -124,38 +161,38 @@ class Benchmark:
 
     def _only(self, items: list[int]) -> "Benchmark":
         b = object.__new__(Benchmark)
-        keep = np.isin(self.item, items)
-        b.least, b.ids, b.words = self.least, [self.ids[i] for i in items], [self.words[i] for i in items]
-        b.seed, b.place = self.seed[keep], self.place[keep]
-        b.item = np.searchsorted(items, self.item[keep])
-        b.filter = self.filter
+        b.least, b.ids, b.words, b.index = self.least, [self.ids[i] for i in items], [self.words[i] for i in items], {}
+        for n, (seed, item, place, _) in self.index.items():
+            keep = np.isin(item, items)
+            if keep.any():
+                b.index[n] = self._indexed(seed[keep], np.searchsorted(items, item[keep]), place[keep])
         return b
 
     def leaks(self, texts: list[str], threshold: float) -> list[list[tuple[int | None, float, int]]]:
         """For each text the (item_id, coverage, number of tiles) at or over the threshold."""
         w = Words(texts)
         out: list[list] = [[] for _ in texts]
-        if not len(self.seed) or len(w.hash) < self.least:
-            return out
-        g = Words.grams_of(w.hash, self.least)
-        maybe = np.flatnonzero(self.filter[(g >> np.uint64(48)).astype(np.int64)])
-        low = np.minimum(np.searchsorted(self.seed, g[maybe]), len(self.seed) - 1)
-        maybe = maybe[self.seed[low] == g[maybe]]
-        doc = np.searchsorted(w.ptr, maybe, "right") - 1
-        inside = maybe + self.least <= w.ptr[doc + 1]
-        maybe, doc = maybe[inside], doc[inside]
-        for d in np.unique(doc).tolist():
-            at = maybe[doc == d] if len(texts) < 8 else maybe[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
-            kinds = np.unique(g[at])
-            reached: dict[int, set[int]] = {}
-            for a, b in zip(np.searchsorted(self.seed, kinds).tolist(), np.searchsorted(self.seed, kinds, "right").tolist()):
-                for i, p in zip(self.item[a:b].tolist(), self.place[a:b].tolist()):
-                    reached.setdefault(i, set()).update(range(p, p + self.least))
+        reached: dict[int, dict[int, set[int]]] = {}
+        for n, (seed, item, place, some) in self.index.items():
+            g = Words.grams_of(w.hash, n)
+            maybe = np.flatnonzero(some[(g >> np.uint64(48)).astype(np.int64)])
+            low = np.minimum(np.searchsorted(seed, g[maybe]), len(seed) - 1)
+            maybe = maybe[seed[low] == g[maybe]]
+            doc = np.searchsorted(w.ptr, maybe, "right") - 1
+            inside = maybe + n <= w.ptr[doc + 1]
+            maybe, doc = maybe[inside], doc[inside]
+            for d in np.unique(doc).tolist():
+                kinds = np.unique(g[maybe[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]])
+                own = reached.setdefault(d, {})
+                for a, b in zip(np.searchsorted(seed, kinds).tolist(), np.searchsorted(seed, kinds, "right").tolist()):
+                    for i, p in zip(item[a:b].tolist(), place[a:b].tolist()):
+                        own.setdefault(i, set()).update(range(p, p + n))
+        for d, items in reached.items():
             words = w.hash[w.ptr[d] : w.ptr[d + 1]]
-            for i, places in sorted(reached.items()):
+            for i, places in sorted(items.items()):
                 n = len(self.words[i])
                 if len(places) >= threshold * n:  # tiles lie within the seeds' places
-                    tiles = tile(self.words[i], words, self.least)
+                    tiles = tile(self.words[i], words, min(self.least, n))
                     covered = sum(t[2] for t in tiles) / n
                     if covered >= threshold:
                         out[d].append((self.ids[i], round(covered, 6), len(tiles)))

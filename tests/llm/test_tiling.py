@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -62,10 +63,26 @@ def test_reordered_passages_are_found(spark):
 
 def test_hostile_rows(hostile, benchmark, empty):
     got = sorted(((r["doc_id"], r["item_id"]) for r in tiling.contaminated(hostile, benchmark).collect()), key=repr)
-    passage = [(d, i) for d in (10, 11, None) for i in (1, 1, None)]
+    passage = [(d, i) for d in (10, 11, None) for i in (1, 1, None)]  # item 4, of two words, is nowhere as a whole
     assert got == sorted(passage + [(5, 5), (5, 5), (6, 5), (7, 5)], key=repr)
     kept = tiling.decontaminate(hostile, benchmark)
     assert kept.columns == hostile.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([None, None, 1, 2, 3, 4, 7, 8, 9], key=repr)
     assert tiling.contaminated(empty, benchmark).count() == 0
     assert tiling.decontaminate(hostile, benchmark.where("1 = 0")).count() == hostile.count()
+
+
+def test_short_items_are_matched_as_a_whole(spark):
+    docs = spark.createDataFrame([(1, "an answer of just three words here"), (2, "just three"), (3, "just three words"), (4, "three just words"), (5, "forty-two")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "Just three words!"), (8, "forty two"), (9, "...")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["coverage"], r["tiles"]) for r in tiling.contaminated(docs, bench).collect()}
+    assert got == {(1, 7, 1.0, 1), (3, 7, 1.0, 1), (5, 8, 1.0, 1)}
+    assert {r["doc_id"] for r in tiling.contaminated(docs, bench, slice_seeds=1).collect()} == {1, 3, 5}
+
+
+def test_repeated_words_take_no_quadratic_time():
+    one = np.zeros(5_000, np.uint64)
+    began = time.perf_counter()
+    assert tile(one[:1000], one) == [(0, 0, 1000)]
+    assert tile(np.tile(np.arange(2, dtype=np.uint64), 500), np.tile(np.arange(2, dtype=np.uint64), 5000))[0] == (0, 0, 1000)
+    assert time.perf_counter() - began < 5
