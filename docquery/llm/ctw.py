@@ -8,13 +8,14 @@ a decision mixes the KT predictions of all depths, node weights being Pe / 2 Pw,
 code length is the sum of -log2 of these probabilities.
 
 Training: each partition counts its (context, byte) grams, one shuffle adds them up, and the trees
-below each last byte are weighted in parallel; they meet at the root in a table of 256 x 255 rows.
+below each two last bytes are weighted in parallel; their sums by last byte meet in a table of 256 x 511 rows.
 Scoring needs the code length of each gram.  That table is broadcast in slices of at most
 ``slice_rows`` rows, as hash tables, and documents pass the slices in one scan without a shuffle, whatever their number.
 
 Defined cases: a null text has null scores; an empty one has 0 bytes, 0 bits and null bits per byte;
 contexts before a text's first byte are zero bytes; repeated rows count as often as they occur; an
-empty corpus gives no rows; null ids stay; other columns are ignored.
+empty corpus gives no rows; null ids stay; other columns are ignored; depths are 1 to 7, as a gram is
+eight bytes at most.
 """
 
 from __future__ import annotations
@@ -73,14 +74,16 @@ def grams(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(docs: DataFrame, depth: int, weight: int = 1) -> DataFrame:
-    """(last, gram, n): how often each gram occurs in all texts; ``last`` is the most recent context byte."""
+    """(last, gram, n): how often each gram occurs in all texts; ``last`` are the two most recent context bytes (one at depth 1)."""
+    if not 1 <= depth <= 7:
+        raise ValueError("depth must be 1 to 7")
 
     def add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         return key, np.bincount(at, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
 
     def out(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array((key >> key.dtype.type(8 * depth)).astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(n * weight)], ["last", "gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array((key >> key.dtype.type(8 * max(depth - 1, 1))).astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(n * weight)], ["last", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -148,13 +151,12 @@ class Trees:
 
 def code_lengths(counts: DataFrame, depth: int) -> DataFrame:
     """(gram, bits): the code length of each gram under the weighted trees of the whole corpus."""
-    if depth < 1:
-        raise ValueError("depth must be 1 at least")
+    top = min(depth, 2)
 
     def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = Trees(pdf["gram"].to_numpy(), pdf["n"].to_numpy(), depth, 1)
+        t = Trees(pdf["gram"].to_numpy(), pdf["n"].to_numpy(), depth, top)
         rows = []
-        last = int(pdf["last"].iloc[0])
+        last = int(pdf["last"].iloc[0]) >> 8 * (top - 1)
         totals = pdf.assign(x=pdf["gram"] & 255).groupby("x")["n"].sum()
         for k in range(8):
             node, pw, _ = t.decision(k, predict=False)
@@ -163,29 +165,41 @@ def code_lengths(counts: DataFrame, depth: int) -> DataFrame:
         rows.append(pd.DataFrame({"last": last, "k": -1, "bits": 0, "pw": 0.0, "x": totals.index, "n": totals.to_numpy()}))
         return pd.concat(rows)
 
-    tops = counts.groupBy("last").applyInPandas(subtree, "last int, k int, bits long, pw double, x long, n long").toPandas()  # 256 x 511 rows at most
-    leaf = tops[tops.k < 0].groupby("x")["n"].sum()
-    total = np.zeros(256, np.int64)
-    total[leaf.index.to_numpy(int)] = leaf.to_numpy()
-    weight, predict = np.zeros((8, 256)), np.zeros((8, 256))
+    # By last byte: sums of log Pw below it, for each decision, and counts of the bytes after it.
+    tops = counts.groupBy("last").applyInPandas(subtree, "last int, k int, bits long, pw double, x long, n long")
+    tops = tops.groupBy("last", "k", "bits", "x").agg(F.sum("pw").alias("pw"), F.sum("n").alias("n")).toPandas()  # 256 x 511 rows at most
+    of_bytes = tops[tops.k < 0]
+    after = np.zeros((256, 256), np.int64)
+    after[of_bytes["last"].to_numpy(int), of_bytes.x.to_numpy(int)] = of_bytes.n.to_numpy()
+
+    def level(n: np.ndarray, below: np.ndarray, k: int, leaf: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(weight, prediction, log Pw) for each context's row of byte counts; ``below`` by bits known."""
+        node, one = np.arange(256) >> (8 - k), (np.arange(256) >> (7 - k)) & 1
+        place = np.arange(len(n))[:, None] * 256 + node
+        total = np.bincount(place.reshape(-1), n.reshape(-1), n.size).astype(np.int64)[place]
+        ones = np.bincount(place.reshape(-1), (n * one).reshape(-1), n.size).astype(np.int64)[place]
+        pe = log_kt(total - ones, ones)
+        pw = pe if leaf else _HALF + np.logaddexp(pe, below[:, node])
+        return (np.ones(n.shape) if leaf else np.exp(_HALF + pe - pw)), (np.where(one == 1, ones, total - ones) + 0.5) / (total + 1.0), pw
+
+    weight, predict = np.zeros((2, 8, 256, 256)), np.zeros((2, 8, 256, 256))  # of depths 0 (its first row) and 1
     for k in range(8):
-        node = np.arange(256) >> (8 - k)
-        one = (np.arange(256) >> (7 - k)) & 1
-        n = np.bincount(node, total, 256).astype(np.int64)[node]
-        n1 = np.bincount(node, total * one, 256).astype(np.int64)[node]
-        of = tops[tops.k == k]
-        rest = np.bincount(of.bits.to_numpy(np.int64), of.pw.to_numpy(), 256)[node]
-        pe = log_kt(n - n1, n1)
-        weight[k] = np.exp(_HALF + pe - (_HALF + np.logaddexp(pe, rest)))
-        predict[k] = (np.where(one == 1, n1, n - n1) + 0.5) / (n + 1.0)
+        of, below = tops[tops.k == k], np.zeros((256, 256))
+        below[of["last"].to_numpy(int), of.bits.to_numpy(int)] = of.pw.to_numpy()
+        weight[1, k], predict[1, k], pw = level(after, below, k, depth == 1)
+        first = np.minimum(np.arange(256) << (8 - k), 255)  # a byte that begins with these bits
+        weight[0, k, :1], predict[0, k, :1], _ = level(after.sum(0, keepdims=True), pw[:, first].sum(0, keepdims=True), k, False)
 
     def lengths(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = Trees(pdf["gram"].to_numpy(), pdf["n"].to_numpy(), depth, 1)
-        x = (t.gram & np.uint64(255)).astype(np.int64)
+        t = Trees(pdf["gram"].to_numpy(), pdf["n"].to_numpy(), depth, top)
+        x, last = (t.gram & np.uint64(255)).astype(np.int64), int(pdf["last"].iloc[0]) >> 8 * (top - 1)
         bits = np.zeros(len(x))
         for k in range(8):
-            w = weight[k][x]
-            bits -= np.log2(w * predict[k][x] + (1 - w) * t.decision(k)[2])
+            p = t.decision(k)[2]
+            for d, row in ((1, last), (0, 0)):
+                w = weight[d, k, row][x]
+                p = w * predict[d, k, row][x] + (1 - w) * p
+            bits -= np.log2(p)
         return pd.DataFrame({"gram": t.gram.astype(np.int64), "bits": bits})
 
     return counts.groupBy("last").applyInPandas(lengths, "gram long, bits double")

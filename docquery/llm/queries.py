@@ -12,10 +12,6 @@ def op1_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-def op1_part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.part_pairs(table(spark, sf_dir, "documents"))
-
-
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.from_pages(table(spark, sf_dir, "pages"))
 
@@ -55,8 +51,3 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_bottom_k, op2_warc_derivatives, op3_ngram_jaccard, op4_kd_shards, op5_toxicity, op6_context_tree, op7_suffix_dedup, op8_mixture, op9_string_tiling, op10_token_counts)}
 
 ORACLES = {"op1_bottom_k": sketch.oracle(), "op2_warc_derivatives": warc.oracle(), "op3_ngram_jaccard": jaccard.oracle(), "op7_suffix_dedup": lpf.oracle(), "op8_mixture": mixing.oracle()}
-
-#: The whole results of which the SQL of a query above asks for a part.
-WHOLE = {f.__name__: f for f in (op1_part_pairs,)}
-
-WHOLE_ORACLES = {"op1_part_pairs": sketch.part_oracle()}

@@ -13,8 +13,8 @@ they are; texts of any length are counted whole; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,8 @@ KNOWN = 400_000
 class Merger:
     """Counts tokens of pre-tokens under a vocabulary of (base64 bytes, rank) lines."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, lines: bytes):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         self.width = np.int64(max(ranks.values()) + 1)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
@@ -111,17 +110,22 @@ class Merger:
         return self.known
 
 
-@functools.cache
-def merger(path: str) -> Merger:
-    """One in each worker."""
-    return Merger(path)
+def _merger(sent) -> Merger:
+    """One in each worker for each vocabulary."""
+    if getattr(_merger, "of", None) is not sent:
+        _merger.of, _merger.it = sent, Merger(sent.value)
+    return _merger.it
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PRETOKEN) -> DataFrame:
-    """(doc_id, n_pretokens, n_tokens) for each row of documents; nothing is shuffled."""
+    """(doc_id, n_pretokens, n_tokens) for each row of documents; nothing is shuffled.
+
+    The vocabulary's file is read by the driver only and broadcast (under a megabyte, whatever the input).
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, split = merger(vocabulary), regex.compile(pattern).findall
+        bpe, split = _merger(sent), regex.compile(pattern).findall
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for at, run in chunks(texts):

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from docquery.llm import ctw
 
@@ -112,3 +113,9 @@ def test_hash_table_finds_what_it_holds():
     got = ctw.looked_up(keys, values, key)
     assert (got[::2] == np.arange(1, len(key[::2]) + 1)).all() and not got[1::2].any()
     assert not ctw.looked_up(*ctw.hashed(key[:0], np.zeros(0, np.float32)), key).any()
+
+
+def test_depths_beyond_eight_bytes_are_refused(hostile):
+    for depth in (0, 8):
+        with pytest.raises(ValueError):
+            ctw.score(hostile, depth=depth)

@@ -42,7 +42,7 @@ def brute(text, n, k):
 
 def test_against_brute_force_and_hostile_rows(hostile):
     n, k = 3, 16
-    got = sketch.sketches(hostile, n, k).collect()
+    got = sketch.sketches(hostile, n, k).where("not whole").collect()
     want = [(r["doc_id"], r["source"], brute(r["text"] or "", n, k)[0]) for r in hostile.collect()]
     key = lambda r: (repr(r[0]), repr(r[1]), r[2])
     assert sorted(((r["doc_id"], r["part"], r["sketch"]) for r in got), key=key) == sorted(want, key=key)
@@ -50,7 +50,7 @@ def test_against_brute_force_and_hostile_rows(hostile):
 
 def test_merge_is_the_sketch_of_the_union(hostile):
     n, k = 3, 16
-    got = {r["part"]: r["sketch"] for r in sketch.merge(sketch.sketches(hostile, n, k), k, salts=2).collect()}
+    got = {r["part"]: r["sketch"] for r in sketch.merge(sketch.sketches(hostile, n, 2, k).where("whole"), k, salts=2).collect()}
     union: dict = {}
     for r in hostile.collect():
         union.setdefault(r["source"], set()).update(shingles(r["text"] or "", n))
@@ -63,7 +63,7 @@ def test_estimates_are_near(spark):
     a = [random.choice(vocabulary) for _ in range(3000)]
     b = a[:1500] + [random.choice(vocabulary) for _ in range(1500)]
     d = spark.createDataFrame([(1, " ".join(a), "x"), (2, " ".join(b), "y")], "doc_id long, text string, source string")
-    rows = [r for r in sketch.fingerprints(d, 5, 256).collect() if r["kind"] == "parts" and r["part"] == "x"]
+    rows = [r for r in sketch.fingerprints(d, 5, 16, 256).collect() if r["kind"] == "parts" and r["part"] == "x"]
     sa, sb = set(shingles(" ".join(a), 5)), set(shingles(" ".join(b), 5))
     (r,) = rows
     assert abs(r["shingles"] / len(sa) - 1) < 0.2
@@ -83,9 +83,20 @@ def test_containment_of_a_small_part_in_a_large_one(spark):
     rows.append((100, " ".join(big[0].split()[:604]), "inside"))  # 1 % of the other's shingles, all of them its own
     rows.append((101, " ".join([*big[1].split()[:604], *(word() for _ in range(1400))]), "partly"))
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {(r["part"], r["other_part"]): r for r in sketch.part_pairs(d).collect()}
+    got = {(r["part"], r["other_part"]): r for r in sketch.fingerprints(d).where("kind = 'parts'").collect()}
     union = {p: set().union(*(shingles(t, 5) for _, t, q in rows if q == p)) for p in ("hot", "inside", "partly")}
     for (a, b), r in got.items():
         assert abs(r["containment"] - len(union[a] & union[b]) / len(union[a])) < 0.12, (a, b)
         assert abs(r["resemblance"] - len(union[a] & union[b]) / len(union[a] | union[b])) < 0.02, (a, b)
     assert got["inside", "hot"]["containment"] == 1.0 and got["inside", "hot"]["sample"] > 20
+
+
+def test_many_parts_are_sent_on(spark, hostile):
+    """Parts' sketches that a task can't hold go on to be merged."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, "1")
+    few, many = (sketch.sketches(hostile.coalesce(1), 3, 2, 16, held).where("whole") for held in (10**6, 10))
+    assert many.count() > few.count()
+    spark.conf.unset(batch)
+    merged = [sorted(map(repr, sketch.merge(x, 16, salts=2).collect())) for x in (few, many)]
+    assert merged[0] == merged[1]

@@ -14,7 +14,7 @@ def encoding():
 
 def test_words_against_reference_merges():
     random.seed(1)
-    e, m = encoding(), tokens.merger(tokens.VOCABULARY)
+    e, m = encoding(), tokens.Merger(Path(tokens.VOCABULARY).read_bytes())
     words = ["a" * n for n in range(1, 40)] + ["".join(random.choices("abtheingor é日", k=random.randrange(1, 30))) for _ in range(2000)] + ["", "x" * 5000]
     want = [len(e._core_bpe.encode_single_piece(w.encode())) if w else 0 for w in words]
     assert m.count([w.encode() for w in words]).tolist() == want
