@@ -1,7 +1,8 @@
 """Queries over the test tables, one or more for each operator, each with DuckDB SQL for the same rows where SQL can express it.
 
-DuckDB's regular expressions know ASCII classes only, so texts whose classes matter are kept to ASCII
-on both sides; noise that the tables lack is added to both as literals.
+DuckDB's regular expressions know ASCII classes only, so white space, letters and numbers are spelt out by
+Unicode categories in the SQL; only word boundaries can't be, and texts of queries that tokenize are kept to
+ASCII on both sides.  Noise that the tables lack is added to both as literals.
 """
 
 from __future__ import annotations
@@ -42,12 +43,18 @@ def q(s: str) -> str:
 ASCII = r"\A[\x00-\x7F]*\z"
 HEAD = "Visit https://x.example/a?b=1 or www.y.example, mail a.b+c@d-e.org: I can't, we'll; THEY'D say “so” — fine\r\nand ​on\r"
 TAIL = "\x07\t two  blanks \n\n\n\n end \x0b"
-_DOCS = f"(SELECT *, {q(HEAD)} || text || {q(TAIL)} AS noisy FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))"
+_ALL = f"(SELECT *, {q(HEAD)} || text || {q(TAIL)} AS noisy FROM documents)"
+_DOCS = f"(SELECT * FROM {_ALL} WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))"
+#: What Unicode has of white space, inside a class.
+_SPACE = r"\s\x0b\x{85}\p{Z}"
+
+
+def all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").withColumn("noisy", F.concat(F.lit(HEAD), "text", F.lit(TAIL)))
 
 
 def ascii_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t(spark, sf_dir, "documents").where(F.col("text").rlike(ASCII))
-    return d.withColumn("noisy", F.concat(F.lit(HEAD), "text", F.lit(TAIL)))
+    return all_docs(spark, sf_dir).where(F.col("text").rlike(ASCII))
 
 
 # Cleaning.
@@ -61,17 +68,17 @@ def _contractions(x: str) -> str:
     return x
 
 
-_KEEP = r"\w\s.,!?;:'\"\-()\[\]{}<>/@#%&+=_*|\\$"
+_KEEP = rf"\p{{L}}\p{{N}}_{_SPACE}" + r".,!?;:'\"\-()\[\]{}<>/@#%&+=_*|\\$"
 SQL = {
     "boundaries": lambda x: f"translate({_r(x, chr(13) + chr(10) + '?', 'chr(10)')}, {q(clean._FANCY)}, {q(clean._PLAIN)})",
     "control_characters": lambda x: _r(x, r"[\x00-\x08\x0B-\x1F]"),
-    "urls": lambda x: _r(x, r"https?://\S+|www\.\S+"),
+    "urls": lambda x: _r(x, rf"https?://[^{_SPACE}]+|www\.[^{_SPACE}]+"),
     "emails": lambda x: _r(x, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
     "contractions": _contractions,
     "lowercase": lambda x: f"lower({x})",
     "special_characters": lambda x: _r(x, f"[^{_KEEP}]"),
-    "whitespace": lambda x: _r(_r(_r(_r(x, r"[\t\x0b\x0c\r ]+", "' '"), "(?m)^ | $"), r"\n{3,}", "chr(10) || chr(10)"), r"^\n+|\n+\z"),
-    "strip": lambda x: _r(x, r"^[\s\x0b]+|[\s\x0b]+\z"),
+    "whitespace": lambda x: _r(_r(_r(_r(x, r"[\t\x0b\x0c\r\x{85}\p{Z}]+", "' '"), "(?m)^ | $"), r"\n{3,}", "chr(10) || chr(10)"), r"^\n+|\n+\z"),
+    "strip": lambda x: _r(x, rf"^[{_SPACE}]+|[{_SPACE}]+\z"),
 }
 
 
@@ -81,20 +88,20 @@ def _cleaning(name: str) -> None:
     x = "noisy" if first else SQL["control_characters"](SQL["boundaries"]("noisy"))
 
     def run(spark, sf_dir):
-        return ascii_docs(spark, sf_dir).select("doc_id", step(prepare(F.col("noisy"))).alias("cleaned"))
+        return all_docs(spark, sf_dir).select("doc_id", step(prepare(F.col("noisy"))).alias("cleaned"))
 
     QUERIES[f"clean_{name}"] = run
-    ORACLES[f"clean_{name}"] = f"SELECT doc_id, {SQL[name](x)} AS cleaned FROM {_DOCS}"
+    ORACLES[f"clean_{name}"] = f"SELECT doc_id, {SQL[name](x)} AS cleaned FROM {_ALL}"
 
 
 for _name in ("boundaries", "control_characters", "urls", "emails", "contractions", "lowercase", "special_characters", "whitespace", "strip"):
     _cleaning(_name)
 
 
-@query(f"SELECT doc_id, {_r(SQL['control_characters'](SQL['boundaries']('noisy')), r'[^\w\s]')} AS cleaned FROM {_DOCS}")
+@query(f"SELECT doc_id, {_r(SQL['control_characters'](SQL['boundaries']('noisy')), '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + _SPACE + ']')} AS cleaned FROM {_ALL}")
 def clean_special_strip(spark, sf_dir):
     c = clean.control_characters(clean.boundaries(F.col("noisy")))
-    return ascii_docs(spark, sf_dir).select("doc_id", clean.special_characters(c, keep_punctuation=False).alias("cleaned"))
+    return all_docs(spark, sf_dir).select("doc_id", clean.special_characters(c, keep_punctuation=False).alias("cleaned"))
 
 
 @query("SELECT doc_id, nfc_normalize(text || 'e' || chr(769) || 'u' || chr(776)) AS cleaned FROM documents")
@@ -104,10 +111,10 @@ def clean_compose(spark, sf_dir):
 
 @query()
 def clean_ocr(spark, sf_dir):
-    return ascii_docs(spark, sf_dir).select("doc_id", clean.ocr(F.concat(F.lit("The shee t of c0st1y he11o, 2010s: fin1sh. "), "text")).alias("cleaned"))
+    return all_docs(spark, sf_dir).select("doc_id", clean.ocr(F.concat(F.lit("The shee t of c0st1y he11o, 2010s: fin1sh. "), "text")).alias("cleaned"))
 
 
-_LINES = "(SELECT doc_id, repeat('Page header ' || (doc_id % 7)::VARCHAR || chr(10), 6) || text || chr(10) || 'OCR_extract 1' AS x FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))"
+_LINES = "(SELECT doc_id, repeat('Page header ' || (doc_id % 7)::VARCHAR || chr(10), 6) || text || chr(10) || 'OCR_extract 1' AS x FROM documents)"
 
 
 @query(f"""WITH l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, unnest(range(0, len(string_split(x, chr(10))))) AS i FROM {_LINES}),
@@ -115,7 +122,7 @@ _LINES = "(SELECT doc_id, repeat('Page header ' || (doc_id % 7)::VARCHAR || chr(
     SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS cleaned FROM c WHERE NOT starts_with(name, 'ocr_extract') AND (length(name) < 4 OR many <= 4 OR nth = 1) GROUP BY doc_id""")
 def clean_repeated_lines(spark, sf_dir):
     x = F.concat(F.repeat(F.concat(F.lit("Page header "), (F.col("doc_id") % 7).cast("string"), F.lit("\n")), F.lit(6)), "text", F.lit("\nOCR_extract 1"))
-    return ascii_docs(spark, sf_dir).select("doc_id", clean.repeated_lines(x).alias("cleaned"))
+    return all_docs(spark, sf_dir).select("doc_id", clean.repeated_lines(x).alias("cleaned"))
 
 
 def _prose(x: str) -> str:
@@ -124,9 +131,9 @@ def _prose(x: str) -> str:
     return x
 
 
-@query(f"SELECT doc_id, {_prose('noisy')} AS cleaned FROM {_DOCS}")
+@query(f"SELECT doc_id, {_prose('noisy')} AS cleaned FROM {_ALL}")
 def clean_prose(spark, sf_dir):
-    return ascii_docs(spark, sf_dir).select("doc_id", clean.Cleaner.prose().clean(F.col("noisy")).alias("cleaned"))
+    return all_docs(spark, sf_dir).select("doc_id", clean.Cleaner.prose().clean(F.col("noisy")).alias("cleaned"))
 
 
 @query()
@@ -165,9 +172,9 @@ def think_strip(spark, sf_dir):
     return t(spark, sf_dir, "nation").select("n_nationkey", clean.without_thoughts(x).alias("answer"))
 
 
-@query(f"SELECT doc_id, {_r('noisy', r'[\x00-\x08\x0B\x0C\x0E-\x1F]')} AS cleaned FROM {_DOCS}")
+@query(f"SELECT doc_id, {_r('noisy', r'[\x00-\x08\x0B\x0C\x0E-\x1F]')} AS cleaned FROM {_ALL}")
 def clean_sanitize(spark, sf_dir):
-    return ascii_docs(spark, sf_dir).select("doc_id", clean.sanitize(F.col("noisy")).alias("cleaned"))
+    return all_docs(spark, sf_dir).select("doc_id", clean.sanitize(F.col("noisy")).alias("cleaned"))
 
 
 # Structure.
@@ -175,11 +182,11 @@ _STRIP = SQL["strip"]
 
 
 def _split_sql(parts: str) -> str:
-    return f"SELECT doc_id, i::INT AS i, part FROM (SELECT doc_id, unnest(p) AS part, unnest(range(0, len(p))) AS i FROM (SELECT doc_id, list_filter(list_transform({parts}, lambda x: {_STRIP('x')}), lambda x: x <> '') AS p FROM {_DOCS}))"
+    return f"SELECT doc_id, i::INT AS i, part FROM (SELECT doc_id, unnest(p) AS part, unnest(range(0, len(p))) AS i FROM (SELECT doc_id, list_filter(list_transform({parts}, lambda x: {_STRIP('x')}), lambda x: x <> '') AS p FROM {_ALL}))"
 
 
 def _exploded(spark, sf_dir, f) -> DataFrame:
-    return ascii_docs(spark, sf_dir).select("doc_id", F.posexplode(f(F.col("noisy"))).alias("i", "part"))
+    return all_docs(spark, sf_dir).select("doc_id", F.posexplode(f(F.col("noisy"))).alias("i", "part"))
 
 
 @query(_split_sql("string_split(noisy, chr(10))"))
@@ -187,27 +194,27 @@ def split_lines(spark, sf_dir):
     return _exploded(spark, sf_dir, text.lines)
 
 
-@query(_split_sql(r"string_split_regex(noisy, '\n\s*\n')"))
+@query(_split_sql(r"string_split_regex(noisy, '\n[" + _SPACE + r"]*\n')"))
 def split_paragraphs(spark, sf_dir):
     return _exploded(spark, sf_dir, text.paragraphs)
 
 
-@query(_split_sql(f"string_split(regexp_replace({_STRIP('noisy')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"))
+@query(_split_sql(f"string_split(regexp_replace({_STRIP('noisy')}, '([.!?])[{_SPACE}]+', '\\1' || chr(1), 'g'), chr(1))"))
 def split_sentences(spark, sf_dir):
     return _exploded(spark, sf_dir, text.sentences)
 
 
 def _heading(x: str) -> str:
-    w = f"string_split_regex({x}, '\\s+')"
-    return f"(length({x}) BETWEEN 3 AND 80 AND (ends_with({x}, ':') OR (upper({x}) = {x} AND lower({x}) <> {x}) OR (len({w}) > 1 AND len(list_filter({w}, lambda y: regexp_matches(y, '^[A-Z]'))) >= 0.6::DOUBLE * len({w}))))"
+    w = f"string_split_regex({x}, '[{_SPACE}]+')"
+    return f"(length({x}) BETWEEN 3 AND 80 AND (ends_with({x}, ':') OR (upper({x}) = {x} AND lower({x}) <> {x}) OR (len({w}) > 1 AND len(list_filter({w}, lambda y: regexp_matches(y, '^\\p{{Lu}}'))) >= 0.6::DOUBLE * len({w}))))"
 
 
-_HEADED = f"(SELECT doc_id, regexp_replace(text, '\\. ', '.' || chr(10), 'g') AS x FROM {_DOCS})"
+_HEADED = f"(SELECT doc_id, regexp_replace(text, '\\. ', '.' || chr(10), 'g') AS x FROM {_ALL})"
 _HEADED_LINES = f"(SELECT doc_id, unnest(p) AS part, unnest(range(0, len(p))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(x, chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '') AS p FROM {_HEADED}))"
 
 
 def headed(spark, sf_dir) -> DataFrame:
-    return ascii_docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit("web").alias("source_type"), F.col("source"), F.regexp_replace("text", r"\. ", ".\n").alias("content"))
+    return all_docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit("web").alias("source_type"), F.col("source"), F.regexp_replace("text", r"\. ", ".\n").alias("content"))
 
 
 @query(f"SELECT doc_id, i::INT AS i, part, {_heading('part')} AS heading FROM {_HEADED_LINES}")
@@ -221,10 +228,10 @@ def sections_web(spark, sf_dir):
     return structure.web_nodes(headed(spark, sf_dir)).select("document_id", "node", "parent", F.array_join("path", "/").alias("path"), "content")
 
 
-@query("SELECT doc_id, trim(array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)), ' ' || chr(10)) AS content, 2 AS first_line, 3 AS last_line FROM " + _DOCS)
+@query("SELECT doc_id, trim(array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)), ' ' || chr(10)) AS content, 2 AS first_line, 3 AS last_line FROM " + _ALL)
 def sliced_lines(spark, sf_dir):
     s = text.slice_lines(F.split("text", "\n"), 1, 3)
-    return ascii_docs(spark, sf_dir).select("doc_id", s["content"].alias("content"), s["first"].alias("first_line"), s["last"].alias("last_line"))
+    return all_docs(spark, sf_dir).select("doc_id", s["content"].alias("content"), s["first"].alias("first_line"), s["last"].alias("last_line"))
 
 
 @query()
@@ -233,10 +240,10 @@ def sections_docx(spark, sf_dir):
     return structure.docx_nodes(d).select("document_id", "node", "parent", F.array_join("path", "/").alias("path"), "content")
 
 
-@query(f"""WITH p AS (SELECT doc_id, unnest(v) AS part, unnest(range(0, len(v))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: {_STRIP('x')}), lambda x: x <> '') AS v FROM {_DOCS}))
+@query(f"""WITH p AS (SELECT doc_id, unnest(v) AS part, unnest(range(0, len(v))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n[{_SPACE}]*\\n'), lambda x: {_STRIP('x')}), lambda x: x <> '') AS v FROM {_ALL}))
     SELECT doc_id AS document_id, (i + 1)::INT AS node, 'Document/paragraph-' || (i + 1)::VARCHAR AS path, part AS content FROM p""")
 def nodes_text(spark, sf_dir):
-    d = ascii_docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit("text").alias("source_type"), "source", F.col("text").alias("content"))
+    d = all_docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit("text").alias("source_type"), "source", F.col("text").alias("content"))
     return structure.text_nodes(d).select("document_id", "node", F.array_join("path", "/").alias("path"), "content")
 
 
@@ -324,15 +331,15 @@ def html_links(spark, sf_dir):
 
 # Chunks.
 @query(f"""SELECT doc_id, i::INT AS i, substr(text, (i * 900 + 1)::INT, 1000) AS chunk, count(*) OVER (PARTITION BY doc_id)::INT AS total
-    FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 1000) / 900.0), 0)::BIGINT + 1)) AS i FROM {_DOCS} WHERE text <> '')""")
+    FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 1000) / 900.0), 0)::BIGINT + 1)) AS i FROM {_ALL} WHERE text <> '')""")
 def chunk_fixed(spark, sf_dir):
     parts = chunk.fixed(F.col("text"))
-    return ascii_docs(spark, sf_dir).select("doc_id", F.size(parts).alias("total"), F.posexplode(parts).alias("i", "chunk"))
+    return all_docs(spark, sf_dir).select("doc_id", F.size(parts).alias("total"), F.posexplode(parts).alias("i", "chunk"))
 
 
 @query()
 def chunk_units(spark, sf_dir):
-    d = ascii_docs(spark, sf_dir).select("doc_id", chunk.packed(text.paragraphs(F.col("text")), 900, 120).alias("c"))
+    d = all_docs(spark, sf_dir).select("doc_id", chunk.packed(text.paragraphs(F.col("text")), 900, 120).alias("c"))
     return d.select("doc_id", F.posexplode("c").alias("i", "chunk"))
 
 
@@ -540,7 +547,7 @@ _KINDS = ("Whereas the agreement and governing law: this contract shall end", "P
 def domain_docs(spark, sf_dir) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 4 + 1).cast("int"))
     source_type = F.element_at(F.array(*map(F.lit, ("text", "pdf", "cisco_config", "url"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return ascii_docs(spark, sf_dir).select("doc_id", source_type.alias("source_type"), F.concat(kind, F.lit("\n"), "text").alias("content"), F.concat("source", F.lit("_contract.txt")).alias("name"))
+    return all_docs(spark, sf_dir).select("doc_id", source_type.alias("source_type"), F.concat(kind, F.lit("\n"), "text").alias("content"), F.concat("source", F.lit("_contract.txt")).alias("name"))
 
 
 def _domain_sql() -> str:
@@ -554,8 +561,8 @@ def _domain_sql() -> str:
         cap = lambda c, base, each, most: f"CASE WHEN ({c}) > 0 THEN least({most}, {base} + {each}::DOUBLE * ({c})) ELSE 0 END"
         score[d] = f"0.25 + {prior}::DOUBLE + {cap(n('name', s.names), 1.10, 0.45, 2.4)} + {cap(n('low', s.words), 0.55, 0.28, 3.2)} + 1.40::DOUBLE * ({m(s.strong)}) + least(2.4, 0.85::DOUBLE * ({m(s.layout)}))"
     kinds, types = ", ".join(map(q, _KINDS)), "'text', 'pdf', 'cisco_config', 'url'"
-    return f"""WITH d AS (SELECT doc_id, [{types}][(doc_id % 4 + 1)::INT] AS source_type, [{kinds}][(doc_id % 4 + 1)::INT] || chr(10) || text AS content, source || '_contract.txt' AS name FROM {_DOCS}),
-    p AS (SELECT *, left(content, 20000) AS prev, lower({_STRIP(_r('left(content, 20000)', chr(92) + 's+', q(' ')))}) AS low FROM d),
+    return f"""WITH d AS (SELECT doc_id, [{types}][(doc_id % 4 + 1)::INT] AS source_type, [{kinds}][(doc_id % 4 + 1)::INT] || chr(10) || text AS content, source || '_contract.txt' AS name FROM {_ALL}),
+    p AS (SELECT *, left(content, 20000) AS prev, lower({_STRIP(_r('left(content, 20000)', '[' + _SPACE + ']+', q(' ')))}) AS low FROM d),
     s AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in score.items())} FROM p)
     SELECT doc_id, round(legal, 4) AS legal, round(medical, 4) AS medical, round(cisco, 4) AS cisco, CASE WHEN greatest(legal, medical, cisco) <= 1 THEN 'general' WHEN legal >= medical AND legal >= cisco THEN 'legal' WHEN medical >= cisco THEN 'medical' ELSE 'cisco' END AS best FROM s"""
 
@@ -620,9 +627,9 @@ def doc_summary(spark, sf_dir):
     return answer.document_summaries(c).select("document_id", "chunk_count")
 
 
-@query(f"SELECT lang AS source_type, count(*) AS documents, sum(length(text))::BIGINT AS characters, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')))::BIGINT AS tokens FROM {_DOCS} GROUP BY lang")
+@query(f"SELECT lang AS source_type, count(*) AS documents, sum(length(text))::BIGINT AS characters, sum(len(list_filter(string_split_regex(text, '[{_SPACE}]+'), lambda w: w <> '')))::BIGINT AS tokens FROM {_ALL} GROUP BY lang")
 def metadata_agg(spark, sf_dir):
-    return answer.metadata_totals(ascii_docs(spark, sf_dir).withColumn("source_type", F.col("lang")), "text")
+    return answer.metadata_totals(all_docs(spark, sf_dir).withColumn("source_type", F.col("lang")), "text")
 
 
 @query("SELECT arg_max(n_name, {p: (CASE WHEN contains(lower(n_name), 'i') THEN 0 ELSE 0 END), l: -length(n_name), n: n_name}) AS model FROM nation")

@@ -1,7 +1,7 @@
 """Text cleaning as Column expressions.
 
 All but three steps are built-in expressions; composition to NFC, OCR repair and the limit on
-repeated lines need Python, and get only the rows that can change (others pass as null, unread).
+repeated lines need Python, and read only the rows that can change.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,14 +27,15 @@ _CREDENTIALS = (r"password\s+", r"secret\s+", r"user\s+\S+\s+password\s+", r"ena
 _KEEP = re.escape(".,!?;:'\"-()[]{}<>/@#%&+=_*|$") + r"\\"
 
 
-def _only(where: Column, c: Column, f: Callable[[str], str]) -> Column:
-    """f on the rows where it may matter, in Arrow batches."""
+def _only(where: Callable[[Column], Column], c: Column, f: Callable[[str], str]) -> Column:
+    """f on the rows where it may matter, in Arrow batches; c is evaluated once, and the other rows pass as they are."""
 
     @F.arrow_udf("string")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else f(t) for t in texts.to_pylist()], pa.string())
+    def run(rows: pa.Array) -> pa.Array:
+        texts, on = rows.field(0), rows.field(1).fill_null(False)
+        return pc.replace_with_mask(texts, on, pa.array([f(t) for t in texts.filter(on).to_pylist()], texts.type))
 
-    return F.coalesce(run(F.when(where, c)), c)
+    return run(F.transform(F.array(c), lambda x: F.struct(x.alias("text"), (x.isNotNull() & where(x)).alias("on")))[0])
 
 
 def boundaries(c: Column) -> Column:
@@ -47,7 +49,7 @@ def control_characters(c: Column) -> Column:
 
 def compose(c: Column) -> Column:
     """Unicode NFC."""
-    return _only(~c.rlike(r"^[\x00-\x{2FF}]*$"), c, lambda t: unicodedata.normalize("NFC", t))
+    return _only(lambda x: ~x.rlike(r"^[\x00-\x{2FF}]*$"), c, lambda t: unicodedata.normalize("NFC", t))
 
 
 def urls(c: Column) -> Column:
@@ -77,7 +79,7 @@ def ocr(c: Column) -> Column:
     for a, b in _SPLIT_WORDS:
         c = F.regexp_replace(c, rf"(?iU)\b{a}\s+{b}\b", a + b)
     c = F.regexp_replace(c, r"(?iU)\bfin1sh\b", "finish")
-    return _only(c.rlike("[01]"), c, _repair)
+    return _only(lambda x: x.rlike("[01]"), c, _repair)
 
 
 def lowercase(c: Column) -> Column:
@@ -104,8 +106,10 @@ def repeated_lines(c: Column, most: int = 4) -> Column:
                 out.append(line)
         return "\n".join(out)
 
-    many = F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) >= most
-    return _only(many | F.lower(c).contains("ocr_extract"), c, limit)
+    def some(x: Column) -> Column:
+        return (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))) >= most) | F.lower(x).contains("ocr_extract")
+
+    return _only(some, c, limit)
 
 
 def whitespace(c: Column) -> Column:
