@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import clean, scoring, text
@@ -109,17 +109,29 @@ def clean_compose(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", clean.compose(F.concat("text", F.lit("éü"))).alias("cleaned"))
 
 
-@query()
+def _ocr(x: str) -> str:
+    """Words are runs of letters, numbers and _; those of Latin letters and digits only are repaired."""
+    for a, b in clean._SPLIT_WORDS:
+        x = _r(x, rf"\b{a}[{_SPACE}]+{b}\b", q(a + b), "gi")
+    x = _r(x, r"\bfin1sh\b", "'finish'", "gi")
+    word = f"CASE WHEN length(w) > 3 AND regexp_full_match(w, '[A-Za-zÀ-ÿ0-9]+') AND regexp_matches(w, '[01]') AND regexp_matches(w, '\\p{{L}}') THEN translate(w, '01', 'ol') ELSE w END"
+    runs = r"'[\p{L}\p{N}_]+'"
+    return f"list_reduce(list_concat([''], list_transform(list_zip(string_split_regex({x}, {runs}), list_concat(list_transform(regexp_extract_all({x}, {runs}), lambda w: {word}), [''])), lambda p: p[1] || p[2])), lambda a, b: a || b)"
+
+
+@query(f"SELECT doc_id, {_ocr("'The shee t of c0st1y he11o, 2010s: fin1sh. ' || text")} AS cleaned FROM documents")
 def clean_ocr(spark, sf_dir):
     return all_docs(spark, sf_dir).select("doc_id", clean.ocr(F.concat(F.lit("The shee t of c0st1y he11o, 2010s: fin1sh. "), "text")).alias("cleaned"))
 
 
-_LINES = "(SELECT doc_id, repeat('Page header ' || (doc_id % 7)::VARCHAR || chr(10), 6) || text || chr(10) || 'OCR_extract 1' AS x FROM documents)"
+def _limited(x: str) -> str:
+    """SQL for repeated lines of (doc_id, x) from ``x``."""
+    return f"""(WITH l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, unnest(range(0, len(string_split(x, chr(10))))) AS i FROM {x}),
+    n AS (SELECT *, lower({SQL['strip']('line')}) AS name FROM l), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, name) AS many, row_number() OVER (PARTITION BY doc_id, name ORDER BY i) AS nth FROM n)
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS cleaned FROM c WHERE NOT starts_with(name, 'ocr_extract') AND (length(name) < 4 OR many <= 4 OR nth = 1) GROUP BY doc_id)"""
 
 
-@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, unnest(range(0, len(string_split(x, chr(10))))) AS i FROM {_LINES}),
-    n AS (SELECT *, lower(trim(line, ' ' || chr(9))) AS name FROM l), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, name) AS many, row_number() OVER (PARTITION BY doc_id, name ORDER BY i) AS nth FROM n)
-    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS cleaned FROM c WHERE NOT starts_with(name, 'ocr_extract') AND (length(name) < 4 OR many <= 4 OR nth = 1) GROUP BY doc_id""")
+@query("SELECT * FROM " + _limited("(SELECT doc_id, repeat('Page header ' || (doc_id % 7)::VARCHAR || chr(10), 6) || text || chr(10) || 'OCR_extract 1' AS x FROM documents)"))
 def clean_repeated_lines(spark, sf_dir):
     x = F.concat(F.repeat(F.concat(F.lit("Page header "), (F.col("doc_id") % 7).cast("string"), F.lit("\n")), F.lit(6)), "text", F.lit("\nOCR_extract 1"))
     return all_docs(spark, sf_dir).select("doc_id", clean.repeated_lines(x).alias("cleaned"))
@@ -136,7 +148,16 @@ def clean_prose(spark, sf_dir):
     return all_docs(spark, sf_dir).select("doc_id", clean.Cleaner.prose().clean(F.col("noisy")).alias("cleaned"))
 
 
-@query()
+def _ocr_prose(x: str) -> str:
+    for step in ("boundaries", "control_characters"):
+        x = SQL[step](x)
+    x = f"nfc_normalize({x})"
+    for step in ("urls", "emails", "contractions"):
+        x = SQL[step](x)
+    return x
+
+
+@query(f"SELECT doc_id, {SQL['strip'](SQL['whitespace']('cleaned'))} AS cleaned FROM {_limited(f'(SELECT doc_id, {SQL["special_characters"](_ocr("y"))} AS x FROM (SELECT doc_id, {_ocr_prose("text")} AS y FROM documents))')}")
 def clean_ocr_prose(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", clean.Cleaner.ocr_prose().clean(F.col("text")).alias("cleaned"))
 
@@ -234,7 +255,10 @@ def sliced_lines(spark, sf_dir):
     return all_docs(spark, sf_dir).select("doc_id", s["content"].alias("content"), s["first"].alias("first_line"), s["last"].alias("last_line"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, unnest(p) AS part, unnest(range(0, len(p))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(x || chr(10) || '--- Table 1 ---' || chr(10) || 'a | b' || chr(10), chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '') AS p FROM {_HEADED})),
+    h AS (SELECT *, starts_with(part, '--- Table') AS tab FROM l), n AS (SELECT *, tab OR {_heading('part')} AS h FROM h),
+    s AS (SELECT *, sum(h::INT) OVER w AS k, last_value(CASE WHEN tab THEN {_STRIP("regexp_replace(part, '^-+|-+$', '', 'g')")} WHEN h THEN part END IGNORE NULLS) OVER w AS title FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    SELECT doc_id AS document_id, (i + 1)::INT AS node, k::INT AS parent, 'DOCX/' || coalesce(title, 'Document') AS path, part AS content FROM s WHERE NOT h""")
 def sections_docx(spark, sf_dir):
     d = headed(spark, sf_dir).withColumn("content", F.concat("content", F.lit("\n--- Table 1 ---\na | b\n")))
     return structure.docx_nodes(d).select("document_id", "node", "parent", F.array_join("path", "/").alias("path"), "content")
@@ -559,31 +583,43 @@ def _domain_sql() -> str:
         m = lambda patterns: " + ".join(f"regexp_matches(prev, {q(p.replace('(?im)', '(?ims)').replace('(?ims)', '(?im)'))})::INT" for p in patterns)
         prior = "CASE source_type " + " ".join(f"WHEN {q(k)} THEN {v[d]}" for k, v in domain.PRIORS.items() if d in v) + " ELSE 0 END"
         cap = lambda c, base, each, most: f"CASE WHEN ({c}) > 0 THEN least({most}, {base} + {each}::DOUBLE * ({c})) ELSE 0 END"
-        score[d] = f"0.25 + {prior}::DOUBLE + {cap(n('name', s.names), 1.10, 0.45, 2.4)} + {cap(n('low', s.words), 0.55, 0.28, 3.2)} + 1.40::DOUBLE * ({m(s.strong)}) + least(2.4, 0.85::DOUBLE * ({m(s.layout)}))"
+        score[d] = [f"{prior}::DOUBLE", cap(n("name", s.names), 1.10, 0.45, 2.4), cap(n("low", s.words), 0.55, 0.28, 3.2), f"1.40::DOUBLE * ({m(s.strong)})", f"least(2.4, 0.85::DOUBLE * ({m(s.layout)}))"]
     kinds, types = ", ".join(map(q, _KINDS)), "'text', 'pdf', 'cisco_config', 'url'"
-    return f"""WITH d AS (SELECT doc_id, [{types}][(doc_id % 4 + 1)::INT] AS source_type, [{kinds}][(doc_id % 4 + 1)::INT] || chr(10) || text AS content, source || '_contract.txt' AS name FROM {_ALL}),
+    weights = ", ".join(f"[{', '.join(f'({w})::DOUBLE' for w in v)}] AS {k}_w" for k, v in score.items())
+    kinds_of = "['source type', 'file name', 'content', 'document structure', 'document layout']"
+    return f"""d AS (SELECT doc_id, [{types}][(doc_id % 4 + 1)::INT] AS source_type, [{kinds}][(doc_id % 4 + 1)::INT] || chr(10) || text AS content, source || '_contract.txt' AS name FROM {_ALL}),
     p AS (SELECT *, left(content, 20000) AS prev, lower({_STRIP(_r('left(content, 20000)', '[' + _SPACE + ']+', q(' ')))}) AS low FROM d),
-    s AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in score.items())} FROM p)
-    SELECT doc_id, round(legal, 4) AS legal, round(medical, 4) AS medical, round(cisco, 4) AS cisco, CASE WHEN greatest(legal, medical, cisco) <= 1 THEN 'general' WHEN legal >= medical AND legal >= cisco THEN 'legal' WHEN medical >= cisco THEN 'medical' ELSE 'cisco' END AS best FROM s"""
+    w AS (SELECT doc_id, {weights} FROM p),
+    s AS (SELECT *, 0.25 + list_sum(legal_w) AS legal, 0.25 + list_sum(medical_w) AS medical, 0.25 + list_sum(cisco_w) AS cisco FROM w),
+    o AS (SELECT *, CASE WHEN legal >= medical AND legal >= cisco THEN 'legal' WHEN medical >= cisco THEN 'medical' ELSE 'cisco' END AS top, greatest(legal, medical, cisco) AS best, 1 + legal + medical + cisco AS total, list_reverse_sort([legal, medical, cisco])[2] AS second FROM s),
+    x AS (SELECT *, CASE top WHEN 'legal' THEN legal_w WHEN 'medical' THEN medical_w ELSE cisco_w END AS own FROM o),
+    e AS (SELECT *, len(list_filter(own[2:], lambda v: v > 0)) AS evidence FROM x),
+    k AS (SELECT *, CASE WHEN best <= 1 THEN 'baseline' WHEN best - 0.25 < 1.05 AND evidence < 2 THEN 'weak' WHEN best - second < 0.35 AND best - 0.25 < 1.80 THEN 'ambiguous' ELSE 'specialist' END AS mode FROM e),
+    g AS (SELECT *, CASE mode WHEN 'specialist' THEN top ELSE 'general' END AS domain, CASE mode WHEN 'baseline' THEN greatest(1 / total, 0.58) WHEN 'weak' THEN greatest(1 / total, 0.56) WHEN 'ambiguous' THEN greatest(1 / total, 0.54) ELSE best / total END AS confidence,
+        array_to_string(list_transform(list_reverse_sort(list_filter(list_transform(range(1, 6), lambda i: {{w: own[i], i: -i, t: {kinds_of}[i]}}), lambda v: v.w > 0))[1:3], lambda v: v.t || ' ' || printf('%.2f', v.w)), ', ') AS detail FROM k)"""
+
+
+_DOMAINS = _domain_sql()
 
 
 def _classified(spark, sf_dir) -> DataFrame:
     return domain.classify(domain_docs(spark, sf_dir), "content", F.col("source_type"), F.col("name"))
 
 
-@query(_domain_sql())
+@query(f"WITH {_DOMAINS} SELECT doc_id, round(legal, 4) AS legal, round(medical, 4) AS medical, round(cisco, 4) AS cisco, CASE WHEN best <= 1 THEN 'general' ELSE top END AS best FROM g")
 def domain_scores(spark, sf_dir):
     c = _classified(spark, sf_dir).select("doc_id", *(F.col(f"domain_scores.{d}").alias(d) for d in domain.SPECIALISTS))
     top = F.greatest("legal", "medical", "cisco")
     return c.withColumn("best", F.when(top <= 1, "general").when((F.col("legal") >= F.col("medical")) & (F.col("legal") >= F.col("cisco")), "legal").when(F.col("medical") >= F.col("cisco"), "medical").otherwise("cisco"))
 
 
-@query()
+@query(f"""WITH {_DOMAINS} SELECT doc_id, domain, round(least(1, greatest(0, confidence)), 6) AS confidence,
+    CASE WHEN detail = '' THEN 'general: no specialist signal' ELSE domain || ' (' || mode || '): ' || top || printf(' %.2f of %.2f from ', best, total) || detail END AS domain_reason FROM g""")
 def domain_classify(spark, sf_dir):
     return _classified(spark, sf_dir).select("doc_id", "domain", F.round("domain_confidence", 6).alias("confidence"), "domain_reason")
 
 
-@query()
+@query(f"WITH {_DOMAINS} SELECT domain, count(*) AS documents FROM g GROUP BY domain")
 def domain_counts(spark, sf_dir):
     return domain.domain_counts(_classified(spark, sf_dir).withColumnRenamed("doc_id", "document_id"))
 
@@ -632,9 +668,23 @@ def metadata_agg(spark, sf_dir):
     return answer.metadata_totals(all_docs(spark, sf_dir).withColumn("source_type", F.col("lang")), "text")
 
 
-@query("SELECT arg_max(n_name, {p: (CASE WHEN contains(lower(n_name), 'i') THEN 0 ELSE 0 END), l: -length(n_name), n: n_name}) AS model FROM nation")
+_MODELS = ("Llama-3-{}-instruct", "qwen-{}", "phi-{}-coder", "{}-embed", "{}")
+
+
+def _ranked(name: str) -> str:
+    points = " + ".join(f"CASE WHEN contains(lower({name}), {q(w)}) THEN {n} ELSE 0 END" for w, n in answer._CHAT.items())
+    return f"arg_max({name}, {{p: {points}, l: -length({name}), n: {name}}})"
+
+
+@query(f"SELECT n_regionkey, {_ranked('name')} AS model FROM (SELECT n_regionkey, CASE (n_nationkey + n_regionkey) % 5 {' '.join(f'WHEN {i} THEN ' + q(m).replace('{}', chr(39) + ' || n_name || ' + chr(39)) for i, m in enumerate(_MODELS))} END AS name FROM nation WHERE n_regionkey > 0) GROUP BY n_regionkey UNION ALL SELECT NULL, {_ranked('n_name')} FROM nation")
 def model_fallback(spark, sf_dir):
-    return answer.fallback_model(t(spark, sf_dir, "nation"), "n_name")
+    n = t(spark, sf_dir, "nation")
+    name = F.element_at(F.array(*(F.replace(F.lit(m), F.lit("{}"), F.col("n_name")) for m in _MODELS)), ((F.col("n_nationkey") + F.col("n_regionkey")) % 5 + 1).cast("int"))
+    found = [answer.fallback_model(n.where(F.col("n_regionkey") == r).select(name.alias("name"))).select(F.lit(r).cast("int").alias("n_regionkey"), "model") for r in range(1, 5)]
+    out = answer.fallback_model(n, "n_name").select(F.lit(None).cast("int").alias("n_regionkey"), "model")
+    for f in found:
+        out = out.unionByName(f)
+    return out
 
 
 @query("SELECT vec_id, array_to_string(list_transform(embedding[1:8], lambda x: round(x::DOUBLE, 4)::VARCHAR), ' ') AS preview FROM embeddings ORDER BY lpad(vec_id::VARCHAR, 9, '0') LIMIT 25 OFFSET 50")
@@ -646,22 +696,28 @@ def store_page(spark, sf_dir):
     return p.select("vec_id", F.array_join(F.transform("preview", lambda x: F.round(x.cast("double"), 4).cast("string")), " ").alias("preview"))
 
 
-@query("SELECT chunk_id, pos FROM (SELECT unnest(['7', '3', '3', 'none', '5']) AS chunk_id, unnest([0, 1, 2, 3, 4]) AS pos) JOIN (SELECT doc_id::VARCHAR AS chunk_id FROM documents) USING (chunk_id)")
+@query("SELECT chunk_id, (row_number() OVER (ORDER BY pos) - 1)::INT AS pos FROM (SELECT unnest(['7', '3', '3', 'none', '5']) AS chunk_id, unnest([0, 1, 2, 3, 4]) AS pos) JOIN (SELECT doc_id::VARCHAR AS chunk_id FROM documents) USING (chunk_id)")
 def get_chunks(spark, sf_dir):
+    from .sources.store import FrameStore
+
     d = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"))
-    ids = spark.createDataFrame([(["7", "3", "3", "none", "5"],)], "ids array<string>").select(F.posexplode("ids").alias("pos", "chunk_id"))
-    return d.join(ids, "chunk_id").select("chunk_id", "pos")
+    return FrameStore(d).get(["7", "3", "3", "none", "5"]).withColumn("pos", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("int") - 1)
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def remove_docs(spark, sf_dir):
-    return t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels").where("quality = 0"), "doc_id", "left_anti").select("doc_id")
+    from .sources.store import without_documents
+
+    d = t(spark, sf_dir, "documents").withColumnRenamed("doc_id", "document_id")
+    return without_documents(d, t(spark, sf_dir, "labels").where("quality = 0").withColumnRenamed("doc_id", "document_id")).select(F.col("document_id").alias("doc_id"))
 
 
-@query("SELECT event_id, event_type || ' ' || event_id::VARCHAR AS content FROM events")
+@query("""SELECT left(sha256(name || chr(10) || b), 32) || '_' || regexp_replace(name, '^.*[/\\\\]', '') AS path, CASE WHEN event_id % 9 > 0 THEN body END AS content, CASE WHEN event_id % 9 = 0 THEN 'content isn''t base64' END AS error
+    FROM (SELECT *, CASE WHEN event_id % 9 = 0 THEN '*' ELSE '' END || base64(encode(body)) AS b FROM (SELECT event_id, 'up/' || event_type || '.txt' AS name, event_type || ' ' || event_id::VARCHAR AS body FROM events))""")
 def upload_decode(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("name"), F.base64(F.encode(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")), "utf-8")).alias("content_base64"))
-    return e.select("event_id", F.try_to_binary("content_base64", F.lit("base64")).cast("string").alias("content"))
+    body = F.base64(F.encode(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")), "utf-8"))
+    e = t(spark, sf_dir, "events").select(F.concat(F.lit("up/"), "event_type", F.lit(".txt")).alias("name"), F.concat(F.when(F.col("event_id") % 9 == 0, "*").otherwise(""), body).alias("content_base64"))
+    return loaders.uploads(e).select("path", F.col("content").cast("string").alias("content"), "error")
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -680,7 +736,11 @@ def file_routing(spark, sf_dir):
     return n.select("n_nationkey", index.filename(path).alias("filename"), loaders.extension(path).alias("extension"), domain.network_text(index.filename(path), body).alias("config"))
 
 
-@query()
+_RUN = "[A-Za-zÀ-ÿ]{18,}"
+
+
+@query(f"""SELECT doc_id, letters >= 40 AND (regexp_matches(text, '{_RUN}') OR blanks / letters < 0.08) AS needed, CASE WHEN letters = 0 THEN 0 ELSE round((blanks - 3 * coalesce(list_sum(list_transform(regexp_extract_all(text, '{_RUN}'), lambda w: length(w) - 17)), 0)) / letters, 6) END AS readability
+    FROM (SELECT doc_id, text, length({_r('text', '[^' + chr(92) + 'p{L}]')}) AS letters, length(text) - length(replace(text, ' ', '')) AS blanks FROM documents)""")
 def page_readability(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", office.needs_spacing(F.col("text")).alias("needed"), F.round(office.readability(F.col("text")), 6).alias("readability"))
 

@@ -76,7 +76,7 @@ class TableStore(FrameStore):
         new.write.mode("append").parquet(f"{self.path}/v{versions[-1]}")
 
     def remove_documents(self, document_ids: DataFrame) -> None:
-        self.replace(self.chunks().join(document_ids.select("document_id"), "document_id", "left_anti"))
+        self.replace(without_documents(self.chunks(), document_ids))
 
     def reindex(self, embedded: DataFrame) -> None:
         """New vectors (chunk_id, embedding) for the same chunks."""
@@ -92,6 +92,10 @@ class TableStore(FrameStore):
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def without_documents(chunks: DataFrame, document_ids: DataFrame) -> DataFrame:
+    return chunks.join(document_ids.select("document_id"), "document_id", "left_anti")
+
+
 def latest(versions: DataFrame, key: str, at: str) -> DataFrame:
     """Of several rows with a key the last one."""
     return versions.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).where("_n = 1").drop("_n")
