@@ -14,7 +14,8 @@ of any two of them follow from the leader's size and the differences alone
 (|r & s| = |L| - |L-r| - |L-s| + |(L-r) & (L-s)| + |(r-L) & (s-L)|), so a set's answers are
 derived from those of the set it resembles: the leader's overlap with s is known, and the few
 n-grams by which r differs from the leader change it.  Nothing is capped, and the join is exact up to
-collisions of 57 bits of hashes.
+collisions of 58-bit hashes of n-grams, and of 36 bits of two different predecessors wherever a pair's
+common runs begin (one pair in 2**36 that have a single run).
 
 Defined cases: null, empty and wordless texts have no n-grams and no partners; a text of 1 to n - 1
 words has one n-gram; rows without doc_id can't be named and are left out of the join (and kept by
@@ -307,24 +308,23 @@ class Join:
                         continue
                     size = np.array([len(k) for k in sets])
                     most = s.prefix(size)
-                    prev = [np.concatenate([[np.uint64(0)], k[: p - 1] | np.uint64(1)]) for k, p in zip(sets, most.tolist())]
+                    before = [np.concatenate([[np.uint64(0)], mix(k[: p - 1]) >> np.uint64(28)]) for k, p in zip(sets, most.tolist())]
                     pos = np.arange(int(most.sum())) - np.repeat(np.cumsum(most) - most, most)
                     ids = np.repeat(np.array([set_id(k) for k in sets]), most)
-                    # What rows of a set share comes first and token and position share a number: some 21 bytes a row
-                    # when compressed.  44 bits of a token suffice: others that look alike only make candidates, and a
-                    # position over 20 bits only skips less.
+                    # Three numbers a row, some 18 bytes when compressed.  44 bits of a token suffice: others that look alike
+                    # only make candidates, and a position over 20 bits only skips less.
                     token = mix(np.concatenate([k[:p] for k, p in zip(sets, most.tolist())])) >> np.uint64(20)
                     packed = token << np.uint64(20) | np.minimum(pos, (1 << 20) - 1).astype(np.uint64)
-                    columns = [ids, np.repeat(size, most).astype(np.int32), packed.view(np.int64), np.concatenate(prev).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sid", "size", "packed", "prev"])
+                    other = np.concatenate(before) << np.uint64(28) | np.repeat(size, most).astype(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, packed.view(np.int64), other.view(np.int64))], ["sid", "packed", "other"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
 
             def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                sid, size, packed, prev = (np.concatenate([r.column(i).to_numpy() for r in rows]) for i in range(4))
+                sid, packed, other = (np.concatenate([r.column(i).to_numpy() for r in rows]) for i in range(3))
                 found: list[tuple[np.ndarray, np.ndarray]] = []
-                for pair in pairs_of_lists(packed >> 20, prev, sid, size, packed & 0xFFFFF, s):
+                for pair in pairs_of_lists(packed >> 20, other >> 28, sid, other & 0xFFFFFFF, packed & 0xFFFFF, s):
                     found.append(pair)
                     if sum(len(a) for a, _ in found) > STRIDE:
                         yield _distinct(found)
@@ -335,9 +335,9 @@ class Join:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                token = batch.column(2).to_numpy() >> 20
+                token = batch.column(1).to_numpy() >> 20
                 cut = int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0
-                if cut or (held and held[-1].column(2)[-1].as_py() >> 20 != token[0]):
+                if cut or (held and held[-1].column(1)[-1].as_py() >> 20 != token[0]):
                     yield from out([*held, batch.slice(0, cut)])
                     held = []
                 held.append(batch.slice(cut))
@@ -345,7 +345,7 @@ class Join:
                 yield from out(held)
 
         self.members = settle(named.select("doc_id", F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(name, "doc_id long, h binary, sid long, size int, signature binary").where("sid is not null").distinct())
-        lists = named.select("text").mapInArrow(index, "sid long, size int, packed long, prev long").repartition(F.shiftrightunsigned("packed", 20)).sortWithinPartitions("packed")
+        lists = named.select("text").mapInArrow(index, "sid long, packed long, other long").repartition(F.shiftrightunsigned("packed", 20)).sortWithinPartitions("packed")
         met = settle(lists.mapInArrow(meet, "a long, b long").distinct())
         grouped = settle(self._grouped(met))
         free(met)
@@ -386,17 +386,20 @@ class Join:
         return grouped.groupBy("g").cogroup(marks.groupBy("leader")).applyInArrow(able, "g long, a long, b long")
 
     def _verified(self, named: DataFrame, grouped: DataFrame, n: int, s: Sizes, classes, stars: bool) -> DataFrame:
-        wants = grouped.select(F.col("g").alias("leader"), F.explode(F.array("g", "a", "b")).alias("sid")).distinct()
-        one = self.members.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("first")).join(wants.select("sid").distinct(), "sid").select("sid", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
+        wants = grouped.select(F.col("g").alias("leader"), F.explode(F.array("g", "a", "b")).alias("sid")).distinct().groupBy("sid").agg(F.collect_list("leader").alias("leaders"))
+        one = self.members.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("first")).join(wants, "sid").select("sid", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), "leaders")
 
         def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, run in chunks(batch.column(1).to_pylist()):
-                    keys = ordered_sets(run, n, classes.value)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array([k.tobytes() for k in keys], pa.binary())], ["sid", "keys"])
-
-        texts = named.join(one, "doc_id").where(F.unhex(F.md5("text")) == F.col("h")).select("sid", "text")
-        sets = texts.mapInArrow(rebuild, "sid long, keys binary").join(wants, "sid").select("leader", "sid", "keys")
+                    leaders = batch.column(2).slice(at, len(run))
+                    who = pa.array(np.repeat(np.arange(len(run)), np.diff(leaders.offsets.to_numpy())))
+                    keys = pa.array([k.tobytes() for k in ordered_sets(run, n, classes.value)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([leaders.flatten(), batch.column(0).slice(at, len(run)).take(who), keys.take(who)], ["leader", "sid", "keys"])
+
+        # Texts go once by doc_id, sets once to each of their leaders.
+        texts = named.join(one, "doc_id").where(F.unhex(F.md5("text")) == F.col("h")).select("sid", "text", "leaders")
+        sets = texts.mapInArrow(rebuild, "leader long, sid long, keys binary")
 
         def check(pairs: pa.Table, rows: pa.Table) -> pa.Table:
             held = {i: np.frombuffer(k, np.uint64) for i, k in zip(rows["sid"].to_pylist(), rows["keys"].to_pylist())}
