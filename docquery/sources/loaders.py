@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import Cleaner, redact
 from ..operators.domain import network_text
 from ..operators.index import filename
-from . import html, network, office
+from . import html, network, office, pdf
 
 
 class Loader(Protocol):
@@ -35,6 +35,10 @@ def has_extension(path: Column, allowed: Iterable[str]) -> Column:
     return extension(path).isin([a.lower().lstrip(".") for a in allowed])
 
 
+def _of_kind(rows: DataFrame, allowed: Iterable[str]) -> DataFrame:
+    return rows.where(has_extension(F.col("path"), allowed)).select("path", F.length("content").cast("long").alias("length"), "content")
+
+
 def files(spark: SparkSession, paths: str | Sequence[str], allowed: Iterable[str]) -> DataFrame:
     """(path, length, content) of files with these extensions."""
     globs = ",".join("*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in a.lstrip(".")) for a in allowed)
@@ -53,7 +57,10 @@ class TextLoader:
         self.cleaner, self.encoding = cleaner, encoding
 
     def load(self, spark, paths):
-        f = files(spark, paths, self.extensions)
+        return self.of_files(files(spark, paths, self.extensions))
+
+    def of_files(self, f: DataFrame) -> DataFrame:
+        """From (path, length, content)."""
         text = F.decode("content", self.encoding) if self.encoding else decoded(F.col("content"))
         return _row(f, self.source_type, self.cleaner.clean(text), F.create_map(F.lit("file_size"), F.col("length").cast("string")))
 
@@ -65,7 +72,10 @@ class ParsedLoader:
         self.source_type, self.extensions, self.parse, self.cleaner, self.text = source_type, extensions, parse, cleaner, text
 
     def load(self, spark, paths):
-        f = files(spark, paths, self.extensions)
+        return self.of_files(files(spark, paths, self.extensions))
+
+    def of_files(self, f: DataFrame) -> DataFrame:
+        """From (path, length, content)."""
         r = f.withColumn("r", office.parsed(decoded(F.col("content")) if self.text else F.col("content"), self.parse))
         return _row(r, self.source_type, self.cleaner.clean(F.col("r.content")), F.col("r.metadata"), F.col("r.error"))
 
@@ -117,17 +127,13 @@ class WebLoader:
         return self.of(urls.mapInArrow(run, "url string, html string"))
 
 
-def no_pdf(data: bytes):
-    raise NotImplementedError("give a page extractor: office.pdf_with(function)")
-
-
 LOADERS: dict[str, Loader] = {
     "text": TextLoader(),
     "web": WebLoader(),
     "docx": ParsedLoader("docx", ("docx",), office.docx, Cleaner.prose()),
     "excel": ParsedLoader("excel", ("xlsx", "xls"), office.xlsx),
     "json": ParsedLoader("json", ("json",), office.json_text, text=True),
-    "pdf": ParsedLoader("pdf", ("pdf",), no_pdf, Cleaner.prose()),
+    "pdf": ParsedLoader("pdf", ("pdf",), office.pdf_with(pdf.extract), Cleaner.prose()),
     "cisco": ConfigLoader(),
 }
 
@@ -144,10 +150,27 @@ def list_loaders() -> list[str]:
     return list(LOADERS)
 
 
+KINDS = ("docx", "excel", "json", "pdf")
+PLAIN = ("txt", "conf", "cfg", "config")
+
+
 def load(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Files of all kinds, each by its extension's loader; text files that look like configurations go to theirs."""
-    parts = [LOADERS[n].load(spark, paths) for n in ("docx", "excel", "json", "pdf")]
-    texts = files(spark, paths, ("txt", "conf", "cfg", "config")).select("path", "length", decoded(F.col("content")).alias("text"))
+    return _routed(lambda allowed: files(spark, paths, allowed))
+
+
+def load_uploads(df: DataFrame) -> DataFrame:
+    """Uploads (name, content_base64) of all kinds as :func:`load` gives files; a bad one leaves its error, and the others go on."""
+    u = uploads(df)
+    known = has_extension(F.col("path"), [x for n in KINDS for x in LOADERS[n].extensions] + [*PLAIN])
+    bad = u.withColumn("error", F.coalesce("error", F.when(~known, F.lit("unsupported file type")))).where("error is not null")
+    good = u.where("error is null").select("path", "content")
+    return _routed(lambda allowed: _of_kind(good, allowed)).unionByName(_row(bad, "upload", F.lit(None).cast("string"), error=F.col("error")))
+
+
+def _routed(of: Callable[[Iterable[str]], DataFrame]) -> DataFrame:
+    parts = [LOADERS[n].of_files(of(LOADERS[n].extensions)) for n in KINDS]
+    texts = of(PLAIN).select("path", "length", decoded(F.col("content")).alias("text"))
     config = (extension(F.col("path")) != "txt") | network_text(filename(F.col("path")), F.col("text"))
     prose = texts.where(~config)
     parts.append(_row(prose, "text_file", LOADERS["text"].cleaner.clean(F.col("text")), F.create_map(F.lit("file_size"), F.col("length").cast("string"))))
