@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free, settle
+from .shared import free, settle, sweep
 from .vec import SQL_WORDS, Words, chunks, mix
 
 N = 2
@@ -345,6 +345,7 @@ class Join:
                 yield from out(held)
 
         self.members = settle(named.select("doc_id", F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(name, "doc_id long, h binary, sid long, size int, signature binary").where("sid is not null").distinct())
+        sweep(spark)
         lists = named.select("text").mapInArrow(index, "sid long, packed long, other long").repartition(F.shiftrightunsigned("packed", 20)).sortWithinPartitions("packed")
         met = settle(lists.mapInArrow(meet, "a long, b long").distinct())
         grouped = settle(self._grouped(met))

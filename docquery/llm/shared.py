@@ -56,5 +56,10 @@ def free(*tables: DataFrame) -> None:
     for t in tables:
         _remove(t.sparkSession, t._settled)
     if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are gone; else they stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
