@@ -108,3 +108,66 @@ def test_every_pair_against_brute_force(spark, hostile):
     assert set(got) == set(brute(rows, 2, "0.6")) == {(a, b) for a in range(5, 10) for b in range(a + 1, 10)}
     got = {(r["doc_a"], r["doc_b"]) for r in jaccard.similar_documents(hostile, 3, "0.6").collect()}
     assert got == {(5, 6), (5, 7), (6, 7), (10, 11)}
+
+
+def linked(rows, n, t):
+    """(doc_id, class_id, links) by brute force."""
+    nodes = sorted({(i, frozenset(Words([text or ""]).grams(n)[0].tolist())) for i, text in rows if i is not None}, key=lambda x: x[0])
+    near = [[k for k, (_, y) in enumerate(nodes) if k != j and x & y and len(x & y) >= Fraction(t) * len(x | y)] for j, (_, x) in enumerate(nodes)]
+    of = list(range(len(nodes)))
+    for _ in nodes:
+        of = [min([of[j], *(of[k] for k in near[j])]) for j in range(len(nodes))]
+    return sorted((i, nodes[of[j]][0], len(near[j])) for j, (i, _) in enumerate(nodes))
+
+
+def near_copies(n, copies=0):
+    """One text of which n have a share of other words, and some exact copies."""
+    random.seed(7)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(random.randrange(1, 7)):
+            w[random.randrange(len(w))] = f"x{random.randrange(60)}"
+        rows.append((i, " ".join(w)))
+    return rows + [(n + i, " ".join(base)) for i in range(copies)]
+
+
+def test_linked_documents_against_brute_force(spark, hostile, monkeypatch):
+    rows = near_copies(150, 5) + [(500 + i, f"alone {i} words of its own {i * 7}") for i in range(20)]
+    d = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    for parts in (2000, 40):  # a star in one part, and in several
+        monkeypatch.setattr(jaccard, "PART_SETS", parts)
+        got = sorted(tuple(r) for r in jaccard.linked_documents(d).collect())
+        assert got == linked(rows, 2, "0.6")
+        assert {(r["doc_a"], r["doc_b"]) for r in jaccard.similar_documents(d).collect()} == set(brute(rows, 2, "0.6"))
+    kept = [r["doc_id"] for r in jaccard.keep_one(d).collect()]
+    assert sorted(kept) == sorted({c for _, c, _ in linked(rows, 2, "0.6")})
+    rows = [(r["doc_id"], r["text"]) for r in hostile.select("doc_id", "text").collect()]
+    assert sorted(tuple(r) for r in jaccard.linked_documents(hostile, 3, "0.6").collect()) == linked(rows, 3, "0.6")
+
+
+def test_near_copies_dont_meet_in_lists(spark, monkeypatch):
+    """What the lists emit for near copies of one text grows with these, not with their square."""
+    seen = []
+    grouped = jaccard.Join._grouped
+    monkeypatch.setattr(jaccard.Join, "_grouped", lambda self, met: seen.append(met.count()) or grouped(self, met))
+    d = spark.createDataFrame(near_copies(300), "doc_id long, text string")
+    assert jaccard.linked_documents(d).count() == 300
+    assert seen[0] < 20 * 300
+
+
+def test_overlaps_of_two_parts():
+    rng = np.random.default_rng(6)
+    a, b = ([np.unique(np.concatenate([rng.integers(0, 40, 25), rng.integers(40, 900, 30)]).astype(np.uint64)) for _ in range(n)] for n in (90, 70))
+    assert jaccard.overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+def test_pairs_equal_sql(spark, duck, sf):
+    got = {(r["doc_a"], r["doc_b"], r["jaccard"]) for r in jaccard.similar_documents(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert got == set(duck.execute(jaccard.oracle()).fetchall())
+    assert got
+
+
+def test_links_of_a_table_without_rows(empty):
+    assert jaccard.linked_documents(empty).count() == 0
