@@ -4,9 +4,10 @@ Documents are points in four dimensions: language, source, length (logarithm, in
 octave) and a 63-bit hash of doc_id, each weighing its bytes.  A node over ``target_bytes`` is split
 at the weighted median of its widest dimension (range over the whole table's range; ties go to the
 first named).  Equal points are summed first.  While nodes hold more than ``held`` points, a level
-is one distributed pass over the points: for each such node and each dimension the running sum of
-bytes gives range and weighted median; length and hash are taken in their highest bits there, as a
-node of that size has many.  Smaller nodes go whole to a task each, which builds the subtree below.
+is two distributed passes over the points: for each such node and each dimension ranges and running sums of
+bytes, length and hash in their highest bits, give the bin that holds the weighted median; then the
+values of that bin give the median itself.  Smaller nodes go whole to a task each, which builds the
+subtree below.  Both find the same cuts, so ``held`` decides costs only.
 Assigning a document walks the tree (a few dozen bytes a leaf, as arrays), so documents' texts are
 never shuffled.
 
@@ -31,8 +32,10 @@ from .shared import free, settle
 TARGET_BYTES = 64 << 20
 HELD = 1_000_000
 DIMENSIONS = ("lang", "source", "length", "hash")
-#: Bits of length and hash that distributed levels leave out.
-COARSE = (0, 0, 12, 43)
+#: Bits of each dimension that cuts leave out: none, whatever a node's size.
+COARSE = (0, 0, 0, 0)
+#: Bits of length and hash that the first pass of a distributed level leaves out.
+BINS = (0, 0, 12, 43)
 
 
 @dataclass
@@ -147,16 +150,16 @@ class KdSharding:
                 by: dict[int, list] = {}
                 for r in _level(coded, grown.tree(), large):
                     by.setdefault(r["node"], []).append(r)
-                large = []
+                tree, split, large = grown.tree(), {}, []
                 for node, dims in sorted(by.items()):
-                    if dims[0]["total"] <= target_bytes:
+                    if dims[0]["total"] <= target_bytes or all(r["lo"] == r["hi"] for r in dims):
                         continue
-                    if dims[0]["n"] <= held or all(r["first"] == r["last"] for r in dims):
+                    if dims[0]["n"] <= held:
                         small.append(node)
                     else:
-                        best = max((r for r in dims if r["first"] < r["last"]), key=lambda r: ((r["hi"] - r["lo"]) / whole[r["d"]], -r["d"]))
-                        bucket = best["median"] if best["median"] < best["last"] else best["under"]
-                        large += grown.split(node, best["d"], (bucket + 1 << COARSE[best["d"]]) - 1)
+                        split[node] = max((r for r in dims if r["lo"] < r["hi"]), key=lambda r: ((r["hi"] - r["lo"]) / whole[r["d"]], -r["d"]))
+                for node, cut in sorted(_cuts(coded, tree, split).items()):
+                    large += grown.split(node, split[node]["d"], cut)
             for node, rows in _subtrees(coded, grown.tree(), small, whole, target_bytes) if small else ():
                 grown.graft(node, rows)
         self.tree = grown.tree()
@@ -197,19 +200,45 @@ def _placed(cells: DataFrame, tree: Tree, nodes: list[int], also: str, columns):
 
 
 def _level(cells: DataFrame, tree: Tree, nodes: list[int]) -> list:
-    """For each node and dimension: range, bytes, points, and of the dimension's highest bits the first, last, median and last but one."""
+    """For each node and dimension: range, bytes, points, the bin (by the highest bits) that holds the median and the bytes before it."""
 
     def columns(node: np.ndarray, x: np.ndarray, w: np.ndarray) -> dict:
         n = len(node)
         return {"node": np.tile(node, 4), "d": np.repeat(np.arange(4, dtype=np.int32), n), "x": x.T.reshape(-1), "w": np.tile(w, 4)}
 
     placed = _placed(cells, tree, nodes, "node long, d int, x long, w long", columns)
-    bits = F.element_at(F.array(*map(F.lit, COARSE)), F.col("d") + 1)
+    bits = F.element_at(F.array(*map(F.lit, BINS)), F.col("d") + 1)
     hist = placed.groupBy("node", "d", F.call_function("shiftright", "x", bits).alias("v")).agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     by = Window.partitionBy("node", "d")
-    run = hist.select("*", F.sum("w").over(by.orderBy("v")).alias("upto"), F.sum("w").over(by).alias("total"), F.max("v").over(by).alias("last"))
-    median, under = F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("v"))), F.max(F.when(F.col("v") < F.col("last"), F.col("v")))
-    return run.groupBy("node", "d").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("v").alias("first"), F.max("v").alias("last"), F.max("total").alias("total"), median.alias("median"), under.alias("under")).collect()  # 4 rows a node of over ``held`` points
+    run = hist.select("*", F.sum("w").over(by.orderBy("v")).alias("upto"), F.sum("w").over(by).alias("total"))
+    median = F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.struct("v", (F.col("upto") - F.col("w")).alias("before"))))
+    return run.groupBy("node", "d").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("total").alias("total"), median.alias("median")).select("*", "median.*").collect()  # 4 rows a node of over ``held`` points
+
+
+def _cuts(cells: DataFrame, tree: Tree, split: dict[int, dict]) -> dict[int, int]:
+    """Each node's weighted median in its dimension, or the largest value below its highest if the median is that."""
+    if not split:
+        return {}
+    nodes = np.array(sorted(split))
+    d, v, hi, before, total = (np.array([split[i][k] for i in nodes.tolist()], np.int64) for k in ("d", "v", "hi", "before", "total"))
+
+    def columns(node: np.ndarray, x: np.ndarray, w: np.ndarray) -> dict:
+        at = np.searchsorted(nodes, node)
+        value = x[np.arange(len(x)), d[at]]
+        inside = value >> np.array(BINS)[d[at]] == v[at]
+        # Of values outside the bin only the largest of a batch below the node's highest can matter.
+        low = np.flatnonzero(~inside & (value < hi[at]))
+        low = low[np.lexsort((value[low], node[low]))]
+        keep = np.concatenate([np.flatnonzero(inside), low[np.append(node[low][1:] != node[low][:-1], True)] if len(low) else low])
+        at = at[keep]
+        return {"node": node[keep], "v": value[keep], "w": np.where(inside[keep], w[keep], 0), "inside": inside[keep], "hi": hi[at], "before": before[at], "total": total[at]}
+
+    placed = _placed(cells, tree, nodes.tolist(), "node long, v long, w long, inside boolean, hi long, before long, total long", columns)
+    hist = placed.groupBy("node", "v", "inside", "hi", "before", "total").agg(F.sum("w").alias("w"))
+    upto = F.col("before") + F.sum("w").over(Window.partitionBy("node", "inside").orderBy("v"))
+    median, under = F.min(F.when(F.col("inside") & (F.col("upto") * 2 >= F.col("total")), F.col("v"))), F.max(F.when(F.col("v") < F.col("hi"), F.col("v")))
+    rows = hist.withColumn("upto", upto).groupBy("node", "hi").agg(median.alias("median"), under.alias("under")).collect()  # a row a node of over ``held`` points
+    return {r["node"]: r["median"] if r["median"] < r["hi"] else r["under"] for r in rows}
 
 
 def _subtrees(cells: DataFrame, tree: Tree, nodes: list[int], whole: np.ndarray, target: int) -> Iterator[tuple[int, list[tuple]]]:

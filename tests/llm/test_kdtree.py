@@ -86,3 +86,11 @@ def test_hostile_rows(hostile, empty):
     assert len(same) == 1  # repeated rows can't be parted
     assert {r["shard"] for r in kdtree.shards(hostile).collect()} == {0}
     assert kdtree.shards(empty).count() == 0 and kdtree.shard_documents(empty).count() == 0
+
+
+def test_tree_does_not_depend_on_held(spark):
+    """The same rows in the same shards whether a level is distributed or not; most lengths are in the bin that has the median."""
+    rows = [(i, "x" * 100, "en", "src", 1000 + i if i < 60 else 5000) for i in range(61)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    trees = [sorted((r["doc_id"], r["shard"]) for r in kdtree.shards(docs, 3500, held).collect()) for held in (kdtree.HELD, 40)]
+    assert trees[0] == trees[1] and [s for _, s in trees[0]] == [0] * 31 + [1] * 30
