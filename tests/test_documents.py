@@ -163,3 +163,23 @@ def test_contains_term(spark):
     d = spark.createDataFrame([("vlan 10 on gi1/0/24",)], "t string")
     has = lambda n: d.select(text.contains_term(F.col("t"), n).alias("x")).first()["x"]
     assert has("VLAN") and has("Gi1/0") and not has("lan") and not has("") and not has("gi")
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from docquery.session import ready
+
+    @F.arrow_udf("long")
+    def size(a: pa.Array) -> pa.Array:
+        return pa.array([a.nbytes] * len(a), pa.int64())
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    text = F.repeat(F.lit("x"), 1 << 20)
+    texts = ready(spark).range(40, numPartitions=1).select(F.concat(text, F.col("id").cast("string")).alias("t"))
+    for c in (size("t"), size(F.struct("t")), size(F.array("t"))):
+        assert texts.agg(F.max(c)).first()[0] < 8 << 20
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "123456")  # one's own bound stays
+    assert ready(spark).conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "123456"
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    ready(spark)
