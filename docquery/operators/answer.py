@@ -34,9 +34,11 @@ def excerpt(text: Column, query: str) -> Column:
     """The line or sentence with most of the query's terms (2 each, 3 for the whole query), the longest of equals."""
     whole = q_normal(query)
     parts = F.filter(F.transform(F.split(text, r"(?U)\n+|(?<=[.!?])\s+"), strip), lambda p: p != "")
-    points = lambda p: sum((contains_term(lookup(p), t).cast("int") * 2 for t in q_tokens(whole, 2)), contains_term(lookup(p), whole).cast("int") * 3)
-    scored = F.transform(parts, lambda p, i: F.struct(points(p).alias("s"), F.length(p).alias("n"), (-i).alias("i"), p.alias("p")))
-    return F.when(F.size(parts) > 0, strip(F.substring(F.array_max(scored)["p"], 1, EXCERPT))).otherwise(strip(F.substring(text, 1, FALLBACK)))
+    points = lambda p: sum((contains_term(p, t).cast("int") * 2 for t in q_tokens(whole, 2)), contains_term(p, whole).cast("int") * 3)
+    folded = F.transform(parts, lambda p: F.struct(p.alias("p"), lookup(p).alias("l")))
+    scored = F.transform(folded, lambda x, i: F.struct(points(x["l"]).alias("s"), F.length(x["p"]).alias("n"), (-i).alias("i"), x["p"].alias("p")))
+    best = F.array_max(scored)["p"]  # null without parts
+    return strip(F.coalesce(F.substring(best, 1, EXCERPT), F.substring(text, 1, FALLBACK)))
 
 
 def citations(results: DataFrame, query: str) -> DataFrame:

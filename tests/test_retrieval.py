@@ -199,3 +199,13 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "postings")).where("term = 'gi0/1'").count() == 1
     cleaned = ingest.cleaned(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")))
     assert cleaned.isStreaming and "domain" in cleaned.columns
+
+
+def test_excerpt_folds_each_part_once(spark):
+    from pyspark.sql import functions as F
+
+    from docquery.operators import answer
+
+    d = spark.createDataFrame([("One the onti here. Nothing.\nOf  the ONTI, of it",), ("",), (None,), ("x" * 300,)], "t string").coalesce(1).select("t", answer.excerpt(F.col("t"), 'the onti "of the"').alias("e"))
+    assert [r.e for r in d.collect()] == ["Of  the ONTI, of it", "", None, "x" * 240]
+    assert d._jdf.queryExecution().analyzed().toString().count("lower(") == 1
