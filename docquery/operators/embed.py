@@ -6,8 +6,6 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Callable, Sequence
-from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +17,17 @@ from ..functions.text import q_normal, q_tokens
 DIMENSION = 512
 
 
-@lru_cache(1 << 16)
-def _place(term: str) -> tuple[int, int]:
-    h = hashlib.blake2b(term.encode(), digest_size=16).digest()
-    return int.from_bytes(h[:4], "big"), 1 - 2 * (h[4] & 1)
-
-
 def hashed(text: str, dimension: int = DIMENSION) -> list[float]:
     """Unit vector of a text: each token and pair of neighbours goes to a hashed place with a hashed sign; zeros without tokens."""
     words = q_tokens(q_normal(text, collapse=False), 2)
+    if not words:
+        return [0.0] * dimension
     terms = Counter(words)
     terms.update(map(" ".join, zip(words, words[1:])))
-    places = list(map(_place, words)) + [_place.__wrapped__(t) for t in islice(terms, len(words), None)]  # words recur, pairs seldom
-    v = [0.0] * dimension
-    for (place, sign), n in zip(places, terms.values()):
-        v[place % dimension] += sign if n == 1 else sign * (1 + math.log(n))
-    v = np.array(v)
+    hashes = [hashlib.blake2b(t, digest_size=16).digest() for t in "\n".join(terms).encode().split(b"\n")]  # terms have no line feeds
+    h = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 16)
+    weights = (1.0 - 2.0 * (h[:, 4] & 1)) * [1 + math.log(n) if n > 1 else 1 for n in terms.values()]
+    v = np.bincount(h[:, :4].copy().view(">u4").ravel() % dimension, weights, dimension)
     size = math.sqrt(float(v @ v))
     return (v / size if size else v).tolist()
 

@@ -209,3 +209,18 @@ def test_excerpt_folds_each_part_once(spark):
     d = spark.createDataFrame([("One the onti here. Nothing.\nOf  the ONTI, of it",), ("",), (None,), ("x" * 300,)], "t string").coalesce(1).select("t", answer.excerpt(F.col("t"), 'the onti "of the"').alias("e"))
     assert [r.e for r in d.collect()] == ["Of  the ONTI, of it", "", None, "x" * 240]
     assert d._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+
+
+def test_embedding_hashes_all_terms_of_a_text_at_once(monkeypatch):
+    from docquery.functions import text
+    from docquery.operators import embed
+
+    import re
+
+    odd = "Gi1/0/1 ΣΑΣ Straße Vlan10\u0301 STRASSE a.b[0].c Ꮳ the The x GiᏣ giᏣ"
+    wanted = text.q_unique(text.q_lookup(t) for t in re.findall(text.TOKEN, odd) if len(t) >= 2)
+    folded = []
+    monkeypatch.setattr(text, "q_lookup", lambda s, f=text.q_lookup: folded.append(s) or f(s))
+    assert text.q_tokens(odd, 2) == wanted
+    assert not folded  # tokens are folded as one text
+    assert embed.hashed("", 4) == embed.hashed("1 ?", 4) == [0.0] * 4
