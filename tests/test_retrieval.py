@@ -224,3 +224,13 @@ def test_embedding_hashes_all_terms_of_a_text_at_once(monkeypatch):
     assert text.q_tokens(odd, 2) == wanted
     assert not folded  # tokens are folded as one text
     assert embed.hashed("", 4) == embed.hashed("1 ?", 4) == [0.0] * 4
+
+
+def test_keyword_cuts_texts_into_tokens_once(spark, sf):
+    from docquery import catalog
+
+    d = catalog.keyword_topk(spark, sf)
+    assert d.count() == 10
+    p = d._jdf.queryExecution()
+    d.collect()
+    assert "ReusedExchange" in p.executedPlan().toString()
