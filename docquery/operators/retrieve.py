@@ -37,12 +37,9 @@ def keyword(chunks: DataFrame, query: Query, top_k: int = 15, filters: FilterSpe
     ``size``: the number of chunks.  Frequencies are those of all chunks: filters come later.
     """
     s, terms = settings.keyword, query.terms(settings.keyword.minimum_token_length)
-    made = index is None
-    index = postings(chunks, s.true_frequencies, terms) if made else index
+    index = postings(chunks, s.true_frequencies, terms) if index is None else index
     hits = index.where(F.col("term").isin(*terms)) if terms else index.where(F.lit(False))
-    # Texts are cut into tokens once: frequencies and scores read the same shuffled rows, so both name all columns.
-    hits = hits.select("term", "chunk_id", "tf").repartition("chunk_id") if made else hits
-    df = hits.groupBy("term").agg(F.count(F.when(F.col("chunk_id").isNotNull() & (F.col("tf") > 0), 1)).alias("df"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(size) if size is not None else F.col("n")
     weighed = hits.join(df, "term")  # a row for each of the query's terms: broadcast by its size
     if size is None:

@@ -226,11 +226,9 @@ def test_embedding_hashes_all_terms_of_a_text_at_once(monkeypatch):
     assert embed.hashed("", 4) == embed.hashed("1 ?", 4) == [0.0] * 4
 
 
-def test_keyword_cuts_texts_into_tokens_once(spark, sf):
-    from docquery import catalog
-
-    d = catalog.keyword_topk(spark, sf)
-    assert d.count() == 10
-    p = d._jdf.queryExecution()
-    d.collect()
-    assert "ReusedExchange" in p.executedPlan().toString()
+def test_postings_of_some_terms_are_those_of_the_whole_index(spark):
+    from docquery.operators import index
+
+    d = spark.createDataFrame([("1", "the onti the"), ("2", "of THE"), ("3", None), ("4", "")], "chunk_id string, search_text string")
+    some, every = index.postings(d, only=["the", "of", "none"]), index.postings(d)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.where("term in ('the', 'of', 'none')").collect()))
